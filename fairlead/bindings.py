@@ -18,6 +18,16 @@ BASE_TABLES = (
 )
 
 
+# Tables whose rows carry whole texts, with a key to spread them by.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give text-heavy passes every core when the files offer fewer splits than that; else leave as is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 class SparkDialect:
     @staticmethod
     def sha(expr: str) -> str:
@@ -278,6 +288,8 @@ class Bindings:
             return self._cache[name]
         if name in BASE_TABLES:
             df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            if name in TEXT_KEYS:
+                df = spread(df, TEXT_KEYS[name])
         else:
             build, needs = VIEWS[name]
             df = self.spark.sql(build(SparkDialect), **{n: self.view(n) for n in needs})

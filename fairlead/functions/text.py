@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Iterable, Mapping, Sequence
@@ -46,8 +47,13 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def literal(value, ddl: str) -> Column:
+    """A nested constant as one literal, folded at planning time: keeps plans small for long word lists."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), ddl)
+
+
 def str_array(items: Iterable[str]) -> Column:
-    return F.array(*[F.lit(i) for i in items]).cast("array<string>")
+    return literal(list(items), "array<string>")
 
 
 def normalize_text(text: Column | str) -> Column:
@@ -83,18 +89,18 @@ def term_pattern(term: str) -> str:
 
 
 def term_rules(terms: Sequence[str]) -> Column:
-    """Literal array of (term, first word, pattern); duplicates by normalised form keep the first."""
+    """Literal array of (term, first word, pattern, plain); duplicates by normalised form keep the first.
+
+    A plain term is one run of letters and digits, so it matches exactly where it is a whole token.
+    """
     seen: dict[str, str] = {}
     for t in terms:
         key = normalize_py(t)
         if key and key not in seen:
             seen[key] = t
-    if not seen:
-        return F.array().cast("array<struct<term:string,word:string,pattern:string>>")
-    return F.array(*[
-        F.struct(F.lit(t).alias("term"), F.lit(k.split(" ")[0]).alias("word"), F.lit(term_pattern(t)).alias("pattern"))
-        for k, t in seen.items()
-    ])
+    rules = [{"term": t, "word": k.split(" ")[0], "pattern": term_pattern(t), "plain": bool(re.fullmatch("[a-z0-9]+", k))}
+             for k, t in seen.items()]
+    return literal(rules, "array<struct<term:string,word:string,pattern:string,plain:boolean>>")
 
 
 def term_rules_from(terms: Column | str) -> Column:
@@ -111,16 +117,25 @@ def term_rules_from(terms: Column | str) -> Column:
             F.replace(F.regexp_replace(s["key"], r"([\\.^$|?*+()\[\]{}\-/])", r"\\$1"), F.lit(" "), F.lit(r"[\s\-/]*")),
             F.lit("(?![a-z0-9])"),
         ).alias("pattern"),
+        F.regexp_like(s["key"], F.lit("^[a-z0-9]+$")).alias("plain"),
     ))
 
 
-def find_terms(text: Column, rules: Column, limit: int = 8) -> Column:
+def gate_tokens(norm_text: Column) -> Column:
+    """Distinct runs of letters and digits of normalised text."""
+    return F.array_distinct(F.split(norm_text, "[^a-z0-9]+"))
+
+
+def find_terms(text: Column, rules: Column, limit: int = 8, token_set: Column | None = None) -> Column:
     """Terms present in normalised text at word boundaries, in rule order.
 
-    The plain substring test comes first, so a pattern is only run where its first word occurs.
+    One-word terms are looked up among the tokens; for the others the plain substring test comes first,
+    so a pattern only runs where its first word occurs.
     """
-    return let(text, lambda t: F.slice(F.transform(
-        F.filter(rules, lambda r: F.contains(t, r["word"]) & F.regexp_like(t, r["pattern"])), lambda r: r["term"]), 1, limit))
+    bound = F.struct(text.alias("text"), (gate_tokens(text) if token_set is None else token_set).alias("tokens"))
+    return let(bound, lambda v: F.slice(F.transform(F.filter(rules, lambda r: F.when(
+        r["plain"], F.array_contains(v["tokens"], r["word"])).otherwise(
+        F.contains(v["text"], r["word"]) & F.regexp_like(v["text"], r["pattern"]))), lambda r: r["term"]), 1, limit))
 
 
 def find_amounts(text: Column | str, limit: int = 3) -> Column:
@@ -128,11 +143,20 @@ def find_amounts(text: Column | str, limit: int = 3) -> Column:
     return F.slice(F.array_distinct(F.transform(found, lambda v: F.trim(v))), 1, limit)
 
 
+def literal_hint(pattern: str) -> str:
+    """Longest plain run that every match of the pattern must contain ('' when there is none)."""
+    flat = re.sub(r"\([^()]*\)[?*]?", "\x00", pattern)
+    flat = re.sub(r"\\[a-zA-Z](\{\d+\}|[+*?])?", "\x00", flat)
+    flat = re.sub(r".[?*]", "\x00", flat)
+    runs = re.findall(r"[a-z' -]+", flat)
+    return max((r for r in runs), key=len, default="")
+
+
 def first_match(text: Column, patterns: Sequence[str], width: int = 60) -> Column:
-    """Text of the first pattern that matches (case-blind), trimmed and cut; NULL when none does."""
-    tries = [F.when(text.rlike("(?i)" + p), F.substring(F.trim(F.regexp_extract(text, f"(?i)({p})", 1)), 1, width))
+    """Match of the first pattern that hits lower-case text, trimmed and cut; NULL when none does."""
+    tries = [F.when(F.contains(text, F.lit(literal_hint(p))), F.nullif(F.regexp_extract(text, f"({p})", 1), F.lit("")))
              for p in patterns]
-    return F.coalesce(*tries)
+    return F.substring(F.trim(F.coalesce(*tries)), 1, width)
 
 
 def any_contains(text: Column, needles: Sequence[str]) -> Column:
@@ -151,16 +175,20 @@ def first_phrase(text: Column, phrases: Sequence[str]) -> Column:
     return F.get(phrases_in(text, phrases), F.lit(0))
 
 
+def label_table(rules: Iterable[tuple[str, Sequence[str]]]) -> Column:
+    return literal([{"label": k, "needles": list(v)} for k, v in rules], "array<struct<label:string,needles:array<string>>>")
+
+
 def detect_multi(text: Column, needles: Mapping[str, Sequence[str]], limit: int) -> Column:
     """Ordered labels with any needle inside the text, cut at the limit."""
-    table = F.array(*[F.struct(F.lit(k).alias("label"), str_array(v).alias("needles")) for k, v in needles.items()])
+    table = label_table(needles.items())
     return let(text, lambda t: F.slice(F.transform(
         F.filter(table, lambda r: F.exists(r["needles"], lambda n: F.contains(t, n))), lambda r: r["label"]), 1, limit))
 
 
 def first_label(text: Column, rules: Iterable[tuple[str, Sequence[str]]], default: str | None = None) -> Column:
     """Label of the first rule with any needle inside the text."""
-    table = F.array(*[F.struct(F.lit(k).alias("label"), str_array(v).alias("needles")) for k, v in rules])
+    table = label_table(rules)
     hits = let(text, lambda t: F.filter(table, lambda r: F.exists(r["needles"], lambda n: F.contains(t, n))))
     return F.coalesce(F.get(hits, F.lit(0))["label"], F.lit(default).cast("string"))
 
@@ -180,7 +208,7 @@ def detect_funding_extract(text: Column) -> Column:
 
 
 def detect_degrees(text: Column) -> Column:
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("label")) for k, v in fr.DEGREE_LABELS])
+    table = literal([{"k": k, "label": v} for k, v in fr.DEGREE_LABELS], "array<struct<k:string,label:string>>")
     return let(F.lower(text), lambda low: F.array_distinct(F.transform(
         F.filter(table, lambda r: F.contains(low, r["k"])), lambda r: r["label"])))
 

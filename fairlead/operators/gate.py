@@ -49,12 +49,15 @@ def profile_terms(envelopes: DataFrame) -> DataFrame:
     )
 
 
+def _tagged(key: str, terms: Column) -> Column:
+    return F.transform(terms, lambda t: F.struct(F.lit(key).alias("key"), t.alias("term")))
+
+
 def merge_envelopes(envelopes: DataFrame) -> DataFrame:
     """(key, term): positive terms of any user; drop terms (lower case) that every user has."""
     keys = ("must_match_any", "profile_match_any", "region_match_any", "institution_match_any")
     pairs = F.flatten(F.array(*[
-        F.transform(F.filter(k, lambda t: t != ""), lambda t, k=k: F.struct(F.lit(k).alias("key"), t.alias("term")))
-        for k in keys]))
+        _tagged(k, F.filter(k, lambda t: t != "")) for k in keys]))
     positive = envelopes.select(F.inline(pairs)).distinct()
     drops = envelopes.select(F.explode(F.array_distinct(F.transform(
         F.filter("hard_drop_any", lambda t: t != ""), lambda t: F.lower(t)))).alias("term"))
@@ -84,6 +87,7 @@ def candidates(items: DataFrame) -> DataFrame:
         "text_length": size_of("title") + size_of("summary") + size_of("content"),
     })
     return staged.withColumns({
+        **{"t_" + f: T.gate_tokens(F.col("n_" + f)) for f in gr.FIELD_PRIORITY},
         "headline": F.trim(F.concat("n_title", F.lit(" "), "n_summary")),
         "blob": F.array_join(F.filter(F.array("n_title", "n_summary", "n_content", "n_url"), lambda x: x != ""), " "),
         "raw_blob": F.array_join(F.filter(F.array("title", "summary", "content"),
@@ -100,12 +104,20 @@ def _silent() -> Column:
     return _signal(F.lit(False), F.lit(0.0), T.no_strings(), F.lit(None))
 
 
+def hits_in(field: str, rules: Column, limit: int = 8) -> Column:
+    return T.find_terms(F.col("n_" + field), rules, limit, F.col("t_" + field))
+
+
 def scan_signal(terms: Sequence[str]) -> Column:
     """Hits over title, url, summary and content; the strongest field plus a bonus for further terms."""
     if not terms:
         return _silent()
     rules = T.term_rules(terms)
-    per_field = F.array(*[T.find_terms(F.col("n_" + f), rules) for f in gr.FIELD_PRIORITY])
+    return score_hits(F.array(*[hits_in(f, rules) for f in gr.FIELD_PRIORITY]))
+
+
+def score_hits(per_field: Column) -> Column:
+    """Signal from the hit lists of the four fields."""
 
     def score(hits: Column) -> Column:
         conf = [F.when(F.size(hits[i]) > 0, F.lit(gr.FIELD_CONFIDENCE[f])).otherwise(0.0)
@@ -155,9 +167,10 @@ def negative_signal(hard_drop: Sequence[str]) -> Column:
     """Title and summary only: hard phrases weigh 1.0, page boilerplate 0.6 in the title or 0.2 below it."""
     hard = T.term_rules([*gr.HARD_NEGATIVE, *hard_drop])
     soft = T.term_rules(gr.SOFT_NEGATIVE)
+    words = F.array_union("t_title", "t_summary")
     found = F.struct(
-        T.find_terms(F.col("headline"), hard).alias("hard"), T.find_terms(F.col("n_title"), hard, 1).alias("hard_title"),
-        T.find_terms(F.col("headline"), soft).alias("soft"), T.find_terms(F.col("n_title"), soft, 1).alias("soft_title"))
+        T.find_terms(F.col("headline"), hard, 8, words).alias("hard"), hits_in("title", hard, 1).alias("hard_title"),
+        T.find_terms(F.col("headline"), soft, 8, words).alias("soft"), hits_in("title", soft, 1).alias("soft_title"))
 
     def where(hits: Column) -> Column:
         return F.when(F.size(hits) > 0, "title").otherwise("summary")
@@ -189,10 +202,11 @@ def editorial_signal(url_patterns: Sequence[str] = gr.EDITORIAL_URL_PATTERNS, st
     URL patterns run on the normalised address (every separator is a slash), where hyphenated ones never
     match; strict_url_patterns runs them on the raw address instead.
     """
-    title_hit = T.let(F.col("n_title"), lambda t: T.first_match(t, gr.EDITORIAL_TITLE_PATTERNS))
-    head_hit = T.let(F.col("headline"), lambda t: T.first_match(t, gr.EDITORIAL_TITLE_PATTERNS))
+    open_ = ~F.col("single")
+    head_hit = F.when(open_, T.let(F.col("headline"), lambda t: T.first_match(t, gr.EDITORIAL_TITLE_PATTERNS)))
+    title_hit = F.when(open_, T.let(F.col("n_title"), lambda t: T.first_match(t, gr.EDITORIAL_TITLE_PATTERNS)))
     address = F.lower("url") if strict_url_patterns else F.replace("n_url", F.lit(" "), F.lit("/"))
-    url_hit = T.let(address, lambda t: T.first_match(t, url_patterns))
+    url_hit = F.when(open_, T.let(address, lambda t: T.first_match(t, url_patterns)))
     draft = F.contains(F.lower(F.coalesce("url", F.lit(""))), F.lit("?p=")) & (
         F.col("n_title").isin("", *gr.DRAFT_TITLES) | (F.size(F.split("n_title", " ")) <= 3))
 
@@ -200,9 +214,8 @@ def editorial_signal(url_patterns: Sequence[str] = gr.EDITORIAL_URL_PATTERNS, st
         return _signal(F.lit(True), F.lit(1.0), F.array(evidence), where)
 
     return T.let(F.struct(title_hit.alias("t"), head_hit.alias("h"), url_hit.alias("u")), lambda v: (
-        F.when(~F.col("single") & v["h"].isNotNull(),
-               yes(v["h"], F.when(v["t"].isNotNull(), "title").otherwise("summary")))
-        .when(~F.col("single") & v["u"].isNotNull(), yes(v["u"], F.lit("url")))
+        F.when(v["h"].isNotNull(), yes(v["h"], F.when(v["t"].isNotNull(), "title").otherwise("summary")))
+        .when(v["u"].isNotNull(), yes(v["u"], F.lit("url")))
         .when(draft, yes(F.lit("wordpress draft url"), F.lit("url")))
         .otherwise(_silent())))
 
@@ -213,14 +226,14 @@ def sufficiency(detail_fetched: Column, text_length: Column) -> Column:
             .when(text_length >= full, 1.0).otherwise(0.15 + 0.85 * ((text_length - low) / float(full - low))))
 
 
-def type_label() -> Column:
-    """Bucket of the first field (title first) that names a kind of listing."""
-    tables = [(k, T.term_rules(v)) for k, v in gr.TYPE_LEXICON.items()]
-
-    def in_field(t: Column) -> Column:
-        return F.coalesce(*[F.when(F.size(T.find_terms(t, r, 1)) > 0, F.lit(k)) for k, r in tables])
+def type_label(per_field: Column) -> Column:
+    """Bucket of the first field (title first) that names a kind of listing.
 
-    return F.coalesce(*[T.let(F.col("n_" + f), in_field) for f in gr.FIELD_PRIORITY])
+    Hits come in taxonomy order, so the first hit of a field is of its first bucket.
+    """
+    table = T.literal({t: k for k, v in gr.TYPE_LEXICON.items() for t in v}, "map<string,string>")
+    labels = F.transform(per_field, lambda hits: F.try_element_at(table, F.get(hits, F.lit(0))))
+    return F.get(F.array_compact(labels), F.lit(0))
 
 
 def _group(names: Sequence[str]) -> Column:
@@ -230,9 +243,13 @@ def _group(names: Sequence[str]) -> Column:
 
 def signals(cands: DataFrame, terms: ProfileTerms) -> DataFrame:
     all_types = [t for v in gr.TYPE_LEXICON.values() for t in v] + list(terms.extra_type_terms)
-    out = cands.withColumn("single", looks_like_single(F.col("n_title")))
+    rules = T.term_rules(all_types)
+    out = cands.withColumns({
+        "single": looks_like_single(F.col("n_title")),
+        "type_hits": F.array(*[hits_in(f, rules) for f in gr.FIELD_PRIORITY]),
+    })
     return out.withColumns({
-        "opportunity_type": scan_signal(all_types),
+        "opportunity_type": score_hits(F.col("type_hits")),
         "funding": funding_signal(),
         "application": scan_signal(gr.APPLICATION_LEXICON),
         "discipline": scan_signal(expand_list(terms.disciplines, gr.SYNONYMS)),
@@ -240,7 +257,7 @@ def signals(cands: DataFrame, terms: ProfileTerms) -> DataFrame:
         "region": region_signal(terms.regions),
         "editorial": editorial_signal(),
         "negative": negative_signal(terms.hard_drop),
-        "type_label": type_label(),
+        "type_label": type_label(F.col("type_hits")),
         "sufficiency": sufficiency(F.col("detail_fetched"), F.col("text_length")),
         "title_amount": F.size(T.find_amounts("title", 1)) > 0,
     })
@@ -293,9 +310,10 @@ EVIDENCE_ORDER = ("opportunity_type", "funding", "discipline", "region", "degree
 
 
 def evidence_summary(limit: int = 6) -> Column:
-    labels = F.flatten(F.array(*[
-        F.transform(F.slice(F.col(n)["evidence"], 1, 2), lambda t, n=n: F.concat(F.lit(n + ":"), t))
-        for n in EVIDENCE_ORDER]))
+    def labelled(n: str) -> Column:
+        return F.transform(F.slice(F.col(n)["evidence"], 1, 2), lambda t: F.concat(F.lit(n + ":"), t))
+
+    labels = F.flatten(F.array(*[labelled(n) for n in EVIDENCE_ORDER]))
     return F.slice(F.array_distinct(labels), 1, limit)
 
 
@@ -306,7 +324,7 @@ def matched_signals() -> Column:
 def explain() -> Column:
     ev = evidence_summary(4)
     tail = F.when(F.size(ev) > 0, F.concat(F.lit("evidence="), F.array_join(ev, ", "))).otherwise("no positive signals")
-    return F.concat_ws(" | ", F.concat(F.col("verdict"), F.lit(" score="), F.format_string("%.2f", "score")), "reason", tail)
+    return F.concat_ws(" | ", F.concat(F.col("verdict"), F.lit(" score="), F.format_string("%.2f", F.bround("score", 2))), "reason", tail)
 
 
 def low_fit_admitted() -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fairlead.functions.text import col, let, no_strings, normalize_py, normalize_text, str_array
+from fairlead.functions.text import col, let, literal, no_strings, normalize_py, normalize_text
 
 
 def symmetrize_synonyms(raw: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:
@@ -38,7 +38,7 @@ def expand_list(terms: Sequence[str], raw: Mapping[str, Sequence[str]]) -> list[
 def expand_terms(terms: Column | str, raw: Mapping[str, Sequence[str]]) -> Column:
     """Each term followed by its synonyms, first occurrence of every normalised form."""
     index = symmetrize_synonyms(raw)
-    table = F.create_map(*[x for k, v in index.items() for x in (F.lit(k), str_array(v))])
+    table = literal(index, "map<string,array<string>>")
     grown = F.flatten(F.transform(F.filter(col(terms), lambda t: t != ""), lambda t: F.concat(
         F.array(t), F.coalesce(F.try_element_at(table, normalize_text(t)), no_strings()))))
     keyed = F.transform(grown, lambda t: F.struct(t.alias("term"), normalize_text(t).alias("key")))

@@ -70,7 +70,7 @@ scan AS (SELECT listing_id, lex, least(1.0, max(conf) + 0.05 * least(count(*) -
   min(ord) // 1000 AS pri FROM firsts GROUP BY ALL),
 am0 AS (SELECT listing_id, regexp_extract_all(raw_blob, {q(gr.AMOUNT_PATTERN)}) AS found FROM nf2),
 am1 AS (SELECT listing_id, trim(unnest(found)) AS v, generate_subscripts(found, 1) AS i FROM am0),
-am2 AS (SELECT listing_id, v, min(i) AS i FROM am1 GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY min(i)) <= 3),
+am2 AS (SELECT listing_id, v, min(i) AS i FROM am1 GROUP BY listing_id, v QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY min(i)) <= 3),
 am AS (SELECT listing_id, list(v ORDER BY i) AS amounts FROM am2 GROUP BY listing_id),
 regt AS (SELECT listing_id, {norm("array_to_string(regions, ' ')")} AS txt FROM nf2),
 reg AS (SELECT listing_id, list(term ORDER BY i) AS ev FROM (SELECT listing_id, i, term FROM regt JOIN terms ON lex = 'region' AND contains(txt, word)
@@ -156,7 +156,7 @@ _EV = _EV.replace("list_concat(", "flatten([", 1)[:-1] + "])"
 gq("g14_explain", f"""SELECT listing_id, array_to_string({_EV}[1:6], '|') AS evidence,
   array_to_string(list_filter([CASE WHEN ty_s IS NOT NULL THEN 'opportunity_type' END, CASE WHEN fu_s IS NOT NULL THEN 'funding' END, CASE WHEN ap_s IS NOT NULL THEN 'application' END,
     CASE WHEN di_s IS NOT NULL THEN 'discipline' END, CASE WHEN de_s IS NOT NULL THEN 'degree' END, CASE WHEN re_s IS NOT NULL THEN 'region' END], lambda x: x IS NOT NULL), '|') AS matched,
-  verdict || ' score=' || printf('%.2f', score) || ' | ' || reason || ' | ' || CASE WHEN len({_EV}) = 0 THEN 'no positive signals'
+  verdict || ' score=' || printf('%.2f', round_even(score, 2)) || ' | ' || reason || ' | ' || CASE WHEN len({_EV}) = 0 THEN 'no positive signals'
     ELSE 'evidence=' || array_to_string({_EV}[1:4], ', ') END AS explanation FROM gate""")
 _LANES = """
 , head AS (SELECT * FROM gate QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY pos) <= 40),
