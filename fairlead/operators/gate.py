@@ -295,10 +295,12 @@ def verdicts(df: DataFrame) -> DataFrame:
         .when(~applied & ~rich, F.lit("investigate;needs_detail_for_application"))
         .when(~low & ~rich & single, F.lit("investigate;ambiguous_listing_title"))
         .otherwise(F.lit("reject;below_admit_threshold")))
-    return df.withColumn("outcome", ladder).withColumns({
-        "verdict": F.split_part("outcome", F.lit(";"), F.lit(1)),
-        "reason": F.regexp_replace("outcome", "^[^;]*;", ""),
-    }).drop("outcome")
+    # One-row inline: later filters on the verdict stay above it, else the optimizer would copy every
+    # signal expression into the filter once per mention.
+    split = F.struct(F.split_part("outcome", F.lit(";"), F.lit(1)).alias("verdict"),
+                     F.regexp_replace("outcome", "^[^;]*;", "").alias("reason"))
+    staged = df.withColumn("outcome", ladder)
+    return staged.select(*[c for c in staged.columns if c != "outcome"], F.inline(F.array(split)))
 
 
 def evaluate(items: DataFrame, terms: ProfileTerms | None = None) -> DataFrame:

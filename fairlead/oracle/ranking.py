@@ -60,13 +60,13 @@ j AS (SELECT pr.*, s.* EXCLUDE (listing_id), us.* EXCLUDE (user_id), coalesce(pg
 e AS (SELECT *, coalesce(cos, lexs / (lexs + 4.0)) AS sem_raw, CASE WHEN cos IS NOT NULL THEN greatest(0.0, least(1.0, (cos - 0.15::DOUBLE) / (0.55::DOUBLE - 0.15::DOUBLE))) ELSE lexs / (lexs + 4.0) END AS sem,
   {hit('reject_phrases')} AS rej, {hit('research_interests')}[1:3] AS ints, list_filter({hit('skills')}, lambda s: length(s) > 3)[1:3] AS sk, {hit('target_universities')}[1] AS uni,
   list_filter(target_regions, lambda r: contains(combined, lower(r)) OR len(list_filter(region_sources, lambda c: contains(c, lower(r)))) > 0) AS regs,
-  {hit('other_languages')}[1] AS lang, {hit('boost_phrases')} AS boost, list_contains(f_regions, 'Global') AS glob, coalesce(require_funding, 'full_only') = 'full_only' AS strict,
+  {hit('other_languages')}[1] AS lang, {hit('boost_phrases')} AS boost, list_contains(f_regions, 'Global') AS worldwide_ok, coalesce(require_funding, 'full_only') = 'full_only' AS strict,
   len(degs) > 0 AS has_deg, list_contains(degs, target) AS dm, degs = ['phd'] AS phd_only, {days_until('due')} AS days, {floor_days('due', AS_OF_SQL)} AS fdays FROM j),
 e2 AS (SELECT *, has_deg AND NOT dm AND phd_only AND target IN ('master', 'undergraduate') AS dfail, has_deg AND NOT dm AND NOT (phd_only AND target IN ('master', 'undergraduate')) AS dpart FROM e),
 e3 AS (SELECT *, round(greatest(0.0, least(1.0, 0.35::DOUBLE + CASE WHEN has_deg AND dm THEN 0.12 ELSE 0 END - CASE WHEN dpart THEN 0.12 ELSE 0 END - CASE WHEN strict AND fund = 'partial' THEN 0.18 ELSE 0 END
    + CASE WHEN strict AND fund = 'full' THEN 0.15 ELSE 0 END + CASE WHEN strict AND fund IN ('stipend', 'award') THEN 0.1 ELSE 0 END + CASE WHEN len(ints) > 0 THEN 0.15::DOUBLE * 0.85 ELSE 0 END
    + CASE WHEN len(sk) > 0 THEN 0.08 ELSE 0 END + CASE WHEN uni IS NOT NULL THEN uw * 0.85 ELSE 0 END + CASE WHEN len(regs) > 0 THEN 0.1::DOUBLE * 0.85 ELSE 0 END
-   + CASE WHEN len(regs) = 0 AND glob THEN 0.05 ELSE 0 END + CASE WHEN lang IS NOT NULL THEN 0.08::DOUBLE * 0.85 ELSE 0 END + len(boost) * 0.05::DOUBLE)), 4) AS elig,
+   + CASE WHEN len(regs) = 0 AND worldwide_ok THEN 0.05 ELSE 0 END + CASE WHEN lang IS NOT NULL THEN 0.08::DOUBLE * 0.85 ELSE 0 END + len(boost) * 0.05::DOUBLE)), 4) AS elig,
   len(rej) > 0 OR dfail OR (strict AND fund = 'self') AS hard, {urgency('days')} AS urg FROM e2),
 sc AS (SELECT *, (0.45::DOUBLE * sem + 0.3::DOUBLE * elig + CASE WHEN due IS NOT NULL THEN 0.15::DOUBLE * urg ELSE 0 END + 0.1::DOUBLE * affinity)
    / (0.45::DOUBLE + 0.3::DOUBLE + CASE WHEN due IS NOT NULL THEN 0.15::DOUBLE ELSE 0 END + 0.1::DOUBLE) AS composite FROM e3)"""
@@ -101,7 +101,7 @@ _RULES = [
     ("len(sk) > 0", "skill_match", "'Uses your skills: ' || array_to_string(sk, ', ')", "positive", "0.1"),
     ("uni IS NOT NULL", "university_match", "'Aligns with ' || uni", "positive", "uw"),
     ("len(regs) > 0", "region_match", "'Located in your target region: ' || array_to_string(regs[1:2], ', ')", "positive", "0.1"),
-    ("len(regs) = 0 AND glob", "region_global", "'Open to applicants worldwide'", "positive", "0.06"),
+    ("len(regs) = 0 AND worldwide_ok", "region_global", "'Open to applicants worldwide'", "positive", "0.06"),
     ("lang IS NOT NULL", "language_match", "'Language requirement met: ' || lang", "positive", "0.08"),
 ]
 
