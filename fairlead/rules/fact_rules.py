@@ -253,3 +253,21 @@ BOOST_PHRASES = [
     "international students", "developing countries", "global south", "DAAD", "fully funded", "tuition waiver",
 ]
 FUNDING_RULE = {"full_only": "full_only", "partial_ok": "full_or_partial", "self_fund_possible": "any"}
+ANTI_GOAL_LABELS = {
+    "unpaid_internships": "Unpaid internships / volunteer-only roles",
+    "non_stem": "Non-STEM fields",
+    "no_funding_info": "Programs with no funding info for international students",
+    "online_only": "Pure online degrees (no research component)",
+    "undergrad_only": "Undergraduate-only opportunities",
+    "bootcamp": "Generic coding bootcamp scholarships",
+}
+MONTH_NUMBERS = {
+    "January": "01", "February": "02", "March": "03", "April": "04", "May": "05", "June": "06",
+    "July": "07", "August": "08", "September": "09", "October": "10", "November": "11", "December": "12",
+}
+TARGET_DEGREES = ["MSc", "PhD", "Fellowship", "Internship", "Mixed"]
+FUNDING_REQUIREMENTS = ["full_only", "partial_ok", "self_fund_possible"]
+RESEARCH_HINTS = ["research", "teaching assistant", "fellow", "publication", "r&d"]
+PREFILL_REVIEW = [
+    "experiences", "publications", "skills", "search_keywords", "preferences.long_term_direction",
+]
