@@ -128,12 +128,11 @@ def score_sources(users: DataFrame, registry: DataFrame, stats: DataFrame, chips
     """Score and reasons per user and catalog source.
 
     Users meet sources through the degree they ask for: each source is listed once per degree it accepts
-    (or under every asked degree when it names none), so the join is an equi-join on the degree.
+    (or under each of the five degrees when it names none), so the join is an equi-join on the degree.
     """
     known = registry.filter(F.col("source_type").isin("rss", "html")).join(stats, "registry_id", "left")
-    asked = users.select("target_degree").distinct()
     limited = known.filter(F.size("degree_levels") > 0).withColumn("target_degree", F.explode(F.array_distinct("degree_levels")))
-    anyone = asked.withColumn("k", F.lit(1)).join(known.filter(F.size("degree_levels") == 0).withColumn("k", F.lit(1)), "k").drop("k")
+    anyone = known.filter(F.size("degree_levels") == 0).withColumn("target_degree", F.explode(T.str_array(fr.TARGET_DEGREES)))
     pairs = users.join(limited.unionByName(anyone), "target_degree")
     chip_map = T.literal(chips, "map<string,string>")
     picked = F.exists("search_sources", lambda c: F.coalesce(F.try_element_at(chip_map, c) == F.col("registry_id"), F.lit(False)))

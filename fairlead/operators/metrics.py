@@ -86,13 +86,12 @@ def score_summary(rows: DataFrame) -> DataFrame:
 
 
 def score_histogram(rows: DataFrame, bins: int = 10) -> DataFrame:
-    """Equal-width bins between the extremes; the one-row range joins on a constant key."""
-    s = rows.filter(F.col("fit_score").isNotNull()).select("fit_score", F.lit(1).alias("k"))
-    rng = s.groupBy("k").agg(F.min("fit_score").alias("lo"), F.max("fit_score").alias("hi"))
-    step = (F.col("hi") - F.col("lo")) / bins
-    counted = s.groupBy("k", "fit_score").agg(F.count("*").alias("n")).join(rng, "k")
-    idx = F.when(F.col("hi") <= F.col("lo"), 0).otherwise(F.least(F.floor((F.col("fit_score") - F.col("lo")) / step), F.lit(bins - 1)))
-    return counted.groupBy(idx.cast("bigint").alias("bin"), "lo", step.alias("step")).agg(F.sum("n").alias("n")).select(
+    """Equal-width bins between the extremes, which are scalar subqueries."""
+    s = rows.filter(F.col("fit_score").isNotNull()).select("fit_score")
+    lo, hi = s.agg(F.min("fit_score")).scalar(), s.agg(F.max("fit_score")).scalar()
+    counted = s.groupBy("fit_score").agg(F.count("*").alias("n")).withColumns({"lo": lo, "step": (hi - lo) / bins})
+    idx = F.when(F.col("step") <= 0, 0).otherwise(F.least(F.floor((F.col("fit_score") - F.col("lo")) / F.col("step")), F.lit(bins - 1)))
+    return counted.groupBy(idx.cast("bigint").alias("bin"), "lo", "step").agg(F.sum("n").alias("n")).select(
         "bin", (F.col("lo") + F.col("bin") * F.col("step")).alias("starts_at"), "n")
 
 
