@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import DoubleType
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -36,9 +36,10 @@ def partial_ratio(a: str, b: str) -> float:
     return max(indel_ratio(short, w) for w in [long_[i:i + n] for i in range(len(long_) - n + 1)] + edges)
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def ratios(title: pd.Series, others: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else [indel_ratio(t, o) for o in os] for t, os in zip(title, others)])
+@F.pandas_udf(DoubleType())
+def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Percentage of characters two texts share in order."""
+    return pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 @F.pandas_udf(DoubleType())

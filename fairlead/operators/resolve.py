@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fairlead.functions import dates as D
 from fairlead.functions import text as T
 from fairlead.functions.matching import add_phrase_hits
-from fairlead.functions.similarity import may_reach, ratios
+from fairlead.functions.similarity import may_reach, ratio
 
 RECENT_WINDOW = 200
 ENTRY = "struct<source_id:bigint,registry_id:string,name:string>"
@@ -46,12 +46,11 @@ def fuzzy_title_match(batch: DataFrame, listings: DataFrame, min_ratio: float =
     order = W.partitionBy("inst").orderBy(F.desc_nulls_last("last_seen_at"), "listing_id")
     top = spots.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= window)
     lists = top.groupBy("inst").agg(F.array_sort(F.collect_list(F.struct("place", "listing_id", "source_id", "lt"))).alias("near"))
-    close = rows.join(lists, "inst").withColumn("near", F.filter("near", lambda c: may_reach(F.col("t"), c["lt"], min_ratio))).filter(F.size("near") > 0)
-    rated = close.withColumn("rated", ratios(F.col("t"), F.transform("near", lambda c: c["lt"])))
-    best = F.array_max(F.zip_with("rated", "near", lambda r, c: F.struct(
-        r.alias("ratio"), (-c["place"]).alias("recency"), c["listing_id"].alias("listing_id"), c["source_id"].alias("source_id"))))
-    return rated.withColumn("b", best).filter(F.col("b.ratio") >= min_ratio).select(
-        "item_id", F.col("b.listing_id").alias("fuzzy_id"), F.col("b.source_id").alias("fuzzy_source"), F.col("b.ratio").alias("ratio"))
+    # Inlining the surviving few drops rows without any, and keeps the edit-distance test from being copied.
+    close = rows.join(lists, "inst").select("item_id", "t", F.inline(F.filter("near", lambda c: may_reach(F.col("t"), c["lt"], min_ratio))))
+    rated = close.withColumn("ratio", ratio(F.col("t"), F.col("lt"))).filter(F.col("ratio") >= min_ratio)
+    best = rated.groupBy("item_id").agg(F.max(F.struct("ratio", (-F.col("place")).alias("recency"), "listing_id", "source_id")).alias("b"))
+    return best.select("item_id", F.col("b.listing_id").alias("fuzzy_id"), F.col("b.source_id").alias("fuzzy_source"), F.col("b.ratio").alias("ratio"))
 
 
 def resolve_upsert(batch: DataFrame, listings: DataFrame, min_ratio: float = 92.0) -> DataFrame:
@@ -111,7 +110,7 @@ def record_also_seen(seen: Column, entry: Column, own_source: Column, source: Co
     return F.when(source.isNull() | (own_source == source), seen).otherwise(last)
 
 
-def normalize_backlog(raw: DataFrame, listings: DataFrame, limit: int = 100, ratio: float = 90.0) -> DataFrame:
+def normalize_backlog(raw: DataFrame, listings: DataFrame, limit: int = 100, ratio_above: float = 90.0) -> DataFrame:
     """Unprocessed documents, at most ``limit`` per call: create those with a new address and no similar title.
 
     The limit makes the document side a proven small list, so every listing title is read once against it.
@@ -119,11 +118,9 @@ def normalize_backlog(raw: DataFrame, listings: DataFrame, limit: int = 100, rat
     batch = raw.filter(~F.col("processed")).orderBy("doc_id").limit(limit)
     picked = [r.asDict() for r in batch.select("doc_id", "url_hash", F.lower("title").alias("t")).collect()]
     docs = T.literal([{"doc_id": r["doc_id"], "t": r["t"]} for r in picked], "array<struct<doc_id:bigint,t:string>>")
-    near = listings.select(F.lower("title").alias("lt")).distinct().withColumn(
-        "near", F.filter(docs, lambda d: may_reach(d["t"], F.col("lt"), ratio))).filter(F.size("near") > 0)
-    rated = near.withColumn("r", ratios(F.col("lt"), F.transform("near", lambda d: d["t"])))
-    similar = rated.select(F.inline(F.zip_with("near", "r", lambda d, r: F.struct(d["doc_id"].alias("doc_id"), r.alias("ratio"))))).filter(
-        F.col("ratio") > ratio).select("doc_id").distinct().withColumn("similar", F.lit(True))
+    near = listings.select(F.lower("title").alias("lt")).distinct().select(
+        "lt", F.inline(F.filter(docs, lambda d: may_reach(d["t"], F.col("lt"), ratio_above))))
+    similar = near.filter(ratio(F.col("lt"), F.col("t")) > ratio_above).select("doc_id").distinct().withColumn("similar", F.lit(True))
     known = listings.select("url_hash").distinct().withColumn("known", F.lit(True))
     j = batch.join(known, "url_hash", "left").join(similar, "doc_id", "left")
     body = F.substring(T.strip_html("raw_content"), 1, 2000)

@@ -1,0 +1 @@
+"""Landed payload parsers and writers."""
