@@ -32,7 +32,8 @@ def fit_level(score: Column, hard_failed: Column) -> Column:
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), zero(), lambda s, v: s + v)
+    a, b = a.cast("array<double>"), b.cast("array<double>")
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), zero(), lambda s, v: s + v)
 
 
 def norm(a: Column) -> Column:
