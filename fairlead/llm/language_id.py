@@ -23,80 +23,73 @@ def letter_table() -> np.ndarray:
     return _letters[0]
 
 
-def subwords(texts: list[str], buckets: int, longest: int = LONGEST):
-    """Letters per text, and for n = 1 .. longest the bucket of the n-gram at every position with a mask and the first
-    position of each text. N-grams are of lower-cased letters within a word, which may include the gap before or after."""
-    lowered = [t.lower() + " " for t in texts]
-    sizes = np.fromiter(map(len, lowered), np.int64, len(lowered))
+def subwords(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters per text, the offsets of the texts, and for n = 1 .. LONGEST a row with the bucket of the n-gram at every
+    position, or 1 << bits where there is none. N-grams are of lower-cased letters within a word and may include the gap
+    before or after it; each text stands between two gaps, so that no n-gram depends on its neighbours."""
+    lowered = [f" {t.lower()} " for t in texts]
+    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lowered), np.int64, len(lowered)))])
     codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = letter_table()[codes]
-    symbols = np.where(letter, codes, 0).astype(np.uint64)
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    grams = []
-    h = np.zeros(len(codes), np.uint64)
-    for n in range(1, longest + 1):
-        size = len(codes) - n + 1
-        if size <= 0:
-            break
-        h = h[:size] * np.uint64(0x9E3779B97F4A7C15) + symbols[n - 1:] + np.uint64(1)
-        mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        bucket = ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
-        if n == 1:
-            ok = letter[:size]
-        elif n == 2:
-            ok = letter[:-1] | letter[1:]
-        else:
-            ok = letter[1:size + 1].copy()
-            for k in range(2, n - 1):
-                ok &= letter[k:size + k]
-        grams.append((bucket, ok))
-    return np.add.reduceat(letter.astype(np.int64), first), first, len(codes), grams
-
-
-def averaged_counts(text: str, buckets: int) -> np.ndarray:
-    """The share of each bucket among the text's subwords."""
-    _, _, _, grams = subwords([text], buckets)
-    counts = sum(np.bincount(b[ok], minlength=buckets) for b, ok in grams)
-    return (counts / max(1, counts.sum())).astype(np.float32)
+    size = len(codes)
+    letter = np.concatenate([letter_table()[codes], np.zeros(LONGEST, bool)])
+    symbols = np.concatenate([codes, np.zeros(LONGEST, np.uint32)]) * letter
+    grams = np.empty((LONGEST, size), np.int64)
+    h = np.zeros(size, np.uint32)
+    inner = np.ones(size, bool)
+    for n in range(1, LONGEST + 1):
+        h = (h + symbols[n - 1:size + n - 1] + np.uint32(1)) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+        if n > 2:
+            inner &= letter[n - 2:size + n - 2]
+        some = inner if n > 2 else letter[:size] if n == 1 else letter[:size] | letter[1:size + 1]
+        grams[n - 1] = np.where(some, (h * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits), np.uint32(1 << bits))
+    return np.add.reduceat(letter[:size].astype(np.int64), offsets[:-1]), offsets, grams
+
+
+def averaged_counts(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Letters per text, and per text the share of each bucket among its subwords."""
+    letters, offsets, grams = subwords(texts, bits)
+    shares = np.zeros((len(texts), 1 << bits), np.float32)
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        counts = np.bincount(grams[:, a:b].ravel(), minlength=(1 << bits) + 1)[:-1]
+        shares[i] = counts / max(1, counts.sum())
+    return letters, shares
 
 
 @dataclass
 class Model:
     """scores[b] is the logit vector that bucket b brings along: its embedding times the linear layer. As the logits of a
-    text are the mean over its subwords plus a bias, that is all a prediction needs. temperature: calibrates; least: a
-    prediction whose calibrated probability is smaller is rejected."""
+    text are the mean over its subwords plus a bias, that is all a prediction needs. Its last entry is how common the bucket
+    was in training (log share), averaged likewise. temperature: calibrates. A prediction is rejected whose calibrated
+    probability is below `least`, or whose subwords are less common than `strange`, with four standard errors more for
+    few letters (spread: of one subword): a softmax alone is sure of itself on scripts that it has never seen."""
 
     languages: list[str]
     scores: np.ndarray
     bias: np.ndarray
     temperature: float
     least: float
+    strange: float
+    spread: float
     accuracy: float
+    bits: int
 
     def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of letters, and logits, per text."""
-        buckets = len(self.scores)
-        letters, first, size, grams = subwords(texts, buckets)
-        total, seen = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
-        for bucket, ok in grams:
-            short = size - len(bucket)  # the last text lacks its last positions only
-            starts = np.minimum(first, len(bucket) - 1)
-            part = self.scores[bucket]
-            part[~ok] = 0
-            total += np.add.reduceat(part, starts, axis=0)
-            seen += np.add.reduceat(ok.astype(np.float64), starts)
-            if short and first[-1] >= len(bucket):  # a text of one character: it has no n-gram of this length
-                total[-1] -= part[len(bucket) - 1]
-                seen[-1] -= ok[len(bucket) - 1]
-        return letters, total / np.maximum(seen, 1)[:, None] + self.bias
+        """Number of letters, and logits with the average commonness behind them, per text."""
+        letters, offsets, grams = subwords(texts, self.bits)
+        out = np.empty((len(texts), len(self.bias)))
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            counts = np.bincount(grams[:, a:b].ravel(), minlength=len(self.scores) + 1)[:-1]
+            out[i] = counts @ self.scores / max(1, counts.sum()) + self.bias
+        return letters, out
 
     def predict(self, texts: list[str]) -> list[tuple[str, float, bool]]:
         """Language, calibrated probability, and whether it is rejected."""
         letters, logits = self.logits(texts)
-        p = softmax(logits / self.temperature)
+        p = softmax(logits[:, :-1] / self.temperature)
         best = p.argmax(axis=1)
         return [
-            (self.languages[b], float(p[i, b]), bool(p[i, b] < self.least)) if letters[i] else (UNDETERMINED, 0.0, True)
+            (self.languages[b], float(p[i, b]), bool(p[i, b] < self.least or logits[i, -1] < self.strange - 4 * self.spread / np.sqrt(letters[i]))) if letters[i] else (UNDETERMINED, 0.0, True)
             for i, b in enumerate(best)
         ]
 
@@ -106,16 +99,17 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(rows: list[tuple[str, str]], buckets: int = 1 << 13, width: int = 16, epochs: int = 12, batch: int = 64, rate: float = 1.0, seed: int = 7, lost: float = 0.001) -> Model | None:
+def train(rows: list[tuple[str, str]], bits: int = 13, width: int = 16, epochs: int = 12, batch: int = 64, rate: float = 1.0, seed: int = 7, lost: float = 0.001) -> Model | None:
     """Fits on (text, language) rows by stochastic gradient descent with a falling rate. Every fifth row is kept out: on
-    those the temperature is set by likelihood, and the rejection threshold such that about the share `lost` of rightly
-    labelled text would be rejected, with 1/2 as the most it may ask for. None without any row that has letters."""
+    those the temperature is set by likelihood, and the rejection thresholds such that less than about the share `lost` of
+    text like the labelled would be rejected, with a probability of 1/2 as the most that may be asked for. None without any row that has letters."""
     rows = [(t, lang) for t, lang in rows if any(c.isalpha() for c in t)]
     if not rows:
         return None
     languages = sorted({lang for _, lang in rows})
     y = np.array([languages.index(lang) for _, lang in rows])
-    x = np.stack([averaged_counts(t, buckets) for t, _ in rows])
+    buckets = 1 << bits
+    x = np.concatenate([averaged_counts([t for t, _ in rows[i:i + 64]], bits)[1] for i in range(0, len(rows), 64)])
     kept_out = np.arange(len(rows)) % 5 == 4
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 1.0 / np.sqrt(width), (buckets, width)).astype(np.float32)
@@ -129,22 +123,27 @@ def train(rows: list[tuple[str, str]], buckets: int = 1 << 13, width: int = 16,
             now = rate * (1 - step / steps)
             step += 1
             hidden = inputs[part] @ embed
-            wrong = softmax(hidden @ linear + bias)
+            wrong = softmax(hidden @ linear + bias).astype(np.float32)
             wrong[np.arange(len(part)), targets[part]] -= 1
-            wrong /= len(part)
-            # averages of many subwords are small; the larger factors bring both layers to the same pace
+            wrong /= np.float32(len(part))
+            # averages of many subwords are small, so the embedding gets the larger rate
             to_embed = inputs[part].T @ (wrong @ linear.T)
-            linear -= 20 * now * (hidden.T @ wrong)
-            bias -= 0.1 * now * wrong.sum(axis=0)
-            embed -= 200 * now * to_embed
-    scores = (embed.astype(np.float64) @ linear).astype(np.float64)
+            linear -= np.float32(now) * (hidden.T @ wrong)
+            bias -= np.float32(0.1 * now) * wrong.sum(axis=0)
+            embed -= np.float32(50 * now) * to_embed
+    scores = embed.astype(np.float64) @ linear
+    familiar = np.log(inputs.mean(axis=0, dtype=np.float64) + 1e-7)
     held, truth = (x[kept_out], y[kept_out]) if kept_out.any() else (x, y)
     logits = held @ scores + bias
     loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean()
     temperature = float(min(np.geomspace(0.05, 20, 200), key=loss))
     p = softmax(logits / temperature)
     least = float(min(0.5, np.quantile(p[np.arange(len(truth)), truth], lost)))
-    return Model(languages, scores, bias.astype(np.float64), temperature, least, float((p.argmax(axis=1) == truth).mean()))
+    usual = held @ familiar
+    strange = float(np.quantile(usual, lost) - usual.std())
+    weight = inputs.mean(axis=0, dtype=np.float64)  # shares add up to 1
+    spread = float(np.sqrt(max(0.0, (weight * familiar**2).sum() - (weight * familiar).sum() ** 2)))
+    return Model(languages, np.column_stack([scores, familiar]), np.append(bias, 0).astype(np.float64), temperature, least, strange, spread, float((p.argmax(axis=1) == truth).mean()), bits)
 
 
 def labelled_sample(docs: DataFrame, per_language: int) -> list[tuple[str, str]]:
@@ -178,8 +177,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: tupl
             texts = [t or "" for t in batch.column("_text").to_pylist()]
             told = []
             group, size = [], 0
-            for t in texts:  # runs of texts of about a million characters bound the arrays
-                if group and size + len(t) > 1_000_000:
+            for t in texts:  # runs of texts of some hundred thousand characters bound the arrays
+                if group and size + len(t) > 300_000:
                     told += answer(group)
                     group, size = [], 0
                 group.append(t)
