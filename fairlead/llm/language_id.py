@@ -99,10 +99,11 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(rows: list[tuple[str, str]], bits: int = 13, width: int = 16, epochs: int = 12, batch: int = 64, rate: float = 1.0, seed: int = 7, lost: float = 0.001) -> Model | None:
-    """Fits on (text, language) rows by stochastic gradient descent with a falling rate. Every fifth row is kept out: on
-    those the temperature is set by likelihood, and the rejection thresholds such that less than about the share `lost` of
-    text like the labelled would be rejected, with a probability of 1/2 as the most that may be asked for. None without any row that has letters."""
+def train(rows: list[tuple[str, str]], bits: int = 13, width: int = 16, steps: int = 800, batch: int = 64, rate: float = 1.0, seed: int = 7, lost: float = 0.001) -> Model | None:
+    """Fits on (text, language) rows by stochastic gradient descent with a falling rate, on batches in which every language
+    is as likely. Every fifth row is kept out: on those the temperature is set by likelihood, and the rejection thresholds
+    such that less than about the share `lost` of text like the labelled would be rejected, with a probability of 1/2 as
+    the most that may be asked for. None without any row that has letters."""
     rows = [(t, lang) for t, lang in rows if any(c.isalpha() for c in t)]
     if not rows:
         return None
@@ -115,22 +116,19 @@ def train(rows: list[tuple[str, str]], bits: int = 13, width: int = 16, epochs:
     embed = rng.normal(0, 1.0 / np.sqrt(width), (buckets, width)).astype(np.float32)
     linear, bias = np.zeros((width, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     inputs, targets = x[~kept_out], y[~kept_out]
-    steps, step = epochs * max(1, -(-len(inputs) // batch)), 0
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(inputs)), max(1, -(-len(inputs) // batch))):
-            if not len(part):
-                continue
-            now = rate * (1 - step / steps)
-            step += 1
-            hidden = inputs[part] @ embed
-            wrong = softmax(hidden @ linear + bias).astype(np.float32)
-            wrong[np.arange(len(part)), targets[part]] -= 1
-            wrong /= np.float32(len(part))
-            # averages of many subwords are small, so the embedding gets the larger rate
-            to_embed = inputs[part].T @ (wrong @ linear.T)
-            linear -= np.float32(now) * (hidden.T @ wrong)
-            bias -= np.float32(0.1 * now) * wrong.sum(axis=0)
-            embed -= np.float32(50 * now) * to_embed
+    share = 1 / np.bincount(targets, minlength=len(languages))[targets]  # every language is drawn as often
+    for step in range(steps):
+        part = rng.choice(len(inputs), batch, p=share / share.sum())
+        now = rate * (1 - step / steps)
+        hidden = inputs[part] @ embed
+        wrong = softmax(hidden @ linear + bias).astype(np.float32)
+        wrong[np.arange(len(part)), targets[part]] -= 1
+        wrong /= np.float32(len(part))
+        # averages of many subwords are small, so the embedding gets the larger rate
+        to_embed = inputs[part].T @ (wrong @ linear.T)
+        linear -= np.float32(now) * (hidden.T @ wrong)
+        bias -= np.float32(0.1 * now) * wrong.sum(axis=0)
+        embed -= np.float32(50 * now) * to_embed
     scores = embed.astype(np.float64) @ linear
     familiar = np.log(inputs.mean(axis=0, dtype=np.float64) + 1e-7)
     held, truth = (x[kept_out], y[kept_out]) if kept_out.any() else (x, y)

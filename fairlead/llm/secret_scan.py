@@ -161,7 +161,7 @@ def as_text(data: bytes, most_bytes: int) -> str | None:
         try:
             data = packed.decompress(data, most_bytes)
         except (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError):
-            return None
+            break  # it only began like compressed data
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
