@@ -22,12 +22,6 @@ BASE_TABLES = (
 TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give text-heavy passes every core when the files offer fewer splits than that; else leave as is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 class SparkDialect:
     @staticmethod
     def sha(expr: str) -> str:
@@ -272,8 +266,11 @@ VIEWS = {
 class Bindings:
     """Attribute access to base tables and business views of one data folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, text_partitions: int | None = None):
+        """text_partitions: deal tables of texts out to so many partitions, for small tables in one row group, which
+        Spark can't split while reading. By default the files' own splits stay, whatever their size."""
         pin_utc(spark)
+        self.text_partitions = text_partitions
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._cache: dict[str, DataFrame] = {}
@@ -288,8 +285,8 @@ class Bindings:
             return self._cache[name]
         if name in BASE_TABLES:
             df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-            if name in TEXT_KEYS:
-                df = spread(df, TEXT_KEYS[name])
+            if name in TEXT_KEYS and self.text_partitions:
+                df = df.repartition(self.text_partitions, TEXT_KEYS[name])
         else:
             build, needs = VIEWS[name]
             df = self.spark.sql(build(SparkDialect), **{n: self.view(n) for n in needs})

@@ -169,21 +169,29 @@ def select_sources(scored: DataFrame, n: int = 4) -> DataFrame:
                       F.when(F.size("reasons") > 0, F.array_join("reasons", ", ")).otherwise("default").alias("selection_reason"))
 
 
-def activate_sources(selection: DataFrame, sources: DataFrame) -> DataFrame:
-    """Source table after an activation: (registry_id, url, is_active, change).
+def activate_sources(selection: DataFrame, sources: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Source table after an activation: (registry_id, url, name, is_active, change).
 
-    Selection rows (registry_id, url, name) update a row with the same id, else one with the same url, else
-    add one. Catalog rows that nobody selected are switched off.
+    An entry (registry_id, url, name, optionally is_active) changes the row that has its id, else the row that has its
+    url, else it is added. What it changes takes its id, url, name and activity. Other rows whose id or url is selected
+    stay as they are. Of the rest, those of the catalog (registry_id) and those without an id are switched off.
     """
-    wanted = selection.groupBy("registry_id").agg(F.min("url").alias("url"), F.min("name").alias("name"))
-    by_id = sources.join(wanted.select("registry_id"), "registry_id", "left_semi").select("id")
-    by_url = sources.join(wanted.select("url"), "url", "left_semi").select("id")
-    hit = by_id.unionByName(by_url).distinct().withColumn("hit", F.lit(True))
-    old = sources.join(hit, "id", "left").select(
-        "registry_id", "url", F.when(F.col("hit").isNotNull(), True).otherwise(False).alias("is_active"),
-        F.when(F.col("hit").isNotNull(), "updated").when(F.col("is_active"), "deactivated").otherwise("unchanged").alias("change"))
-    new = wanted.join(sources.select("registry_id"), "registry_id", "left_anti").join(sources.select("url"), "url", "left_anti")
-    return old.unionByName(new.select("registry_id", "url", F.lit(True).alias("is_active"), F.lit("added").alias("change")))
+    active = F.min("is_active") if "is_active" in selection.columns else F.lit(True)
+    wanted = selection.groupBy("registry_id").agg(F.min("url").alias("url"), F.min("name").alias("name"), active.alias("is_active"))
+    by_id = wanted.join(sources.select("id", "registry_id"), "registry_id").select("id", F.struct("registry_id", "url", "name", "is_active").alias("e"))
+    lone = wanted.join(sources.select("registry_id"), "registry_id", "left_anti")
+    by_url = lone.join(sources.select("id", "url"), "url").select("id", F.struct("registry_id", "url", "name", "is_active").alias("e"))
+    hit = by_id.unionByName(by_url).groupBy("id").agg(F.min("e").alias("e"))
+    listed = catalog.select("registry_id").distinct().withColumn("listed", F.lit(True))
+    chosen = wanted.select("url").distinct().withColumn("chosen", F.lit(True))
+    ids = wanted.select("registry_id", F.lit(True).alias("same_id"))
+    rows = sources.join(hit, "id", "left").join(listed, "registry_id", "left").join(chosen, "url", "left").join(ids, "registry_id", "left")
+    off = F.col("chosen").isNull() & F.col("same_id").isNull() & (F.col("listed").isNotNull() | F.col("registry_id").isNull())
+    changed = F.when(F.col("e").isNotNull(), "updated").when(off & F.col("is_active"), "deactivated").otherwise("unchanged")
+    old = rows.select(F.coalesce("e.registry_id", "registry_id").alias("registry_id"), F.coalesce("e.url", "url").alias("url"), F.coalesce("e.name", "name").alias("name"),
+                      F.when(F.col("e").isNotNull(), F.col("e.is_active")).when(off, False).otherwise(F.col("is_active")).alias("is_active"), changed.alias("change"))
+    new = lone.join(sources.select("url"), "url", "left_anti")
+    return old.unionByName(new.select("registry_id", "url", "name", "is_active", F.lit("added").alias("change")))
 
 
 def profile_ingest_sources(selection: DataFrame, sources: DataFrame) -> DataFrame:

@@ -338,15 +338,17 @@ def first_items(items: DataFrame, key: str, order: list[Column], n: int) -> Data
     return items.withColumn("_rn", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def triage(decisions: DataFrame, max_items: int = gr.MAX_ITEMS_PER_SOURCE, budget: int = gr.INVESTIGATION_BUDGET) -> DataFrame:
+def triage(decisions: DataFrame, max_items: int | None = None, budget: int = gr.INVESTIGATION_BUDGET) -> DataFrame:
     """Lane per item: admitted, investigate (within the budget of its source), deferred or rejected.
 
-    A source is cut to its first max_items items before lanes are numbered, so no group exceeds that size.
+    All items of a source get a lane; max_items cuts it to its first ones. Only the items to investigate are numbered,
+    and of these only the first `budget` have to be known, which Spark keeps per task before it deals them out.
     """
-    head = first_items(decisions, "source_id", [F.col("pos")], max_items)
-    place = F.row_number().over(W.partitionBy("source_id", "verdict").orderBy("pos"))
-    return head.withColumn("_place", place).withColumn("lane", F.when(F.col("verdict") == "admit", "admitted").when(
-        F.col("verdict") == "reject", "rejected").when(F.col("_place") <= budget, "investigate").otherwise("deferred")).drop("_place")
+    head = decisions if max_items is None else first_items(decisions, "source_id", [F.col("pos")], max_items)
+    chosen = first_items(head.filter(F.col("verdict") == "investigate").select("source_id", "pos"), "source_id", [F.col("pos")], budget)
+    last = chosen.groupBy("source_id").agg(F.max("pos").alias("_last"))
+    return head.join(last, "source_id", "left").withColumn("_place", F.when(F.col("pos") <= F.col("_last"), 0).otherwise(budget + 1)).withColumn("lane", F.when(F.col("verdict") == "admit", "admitted").when(
+        F.col("verdict") == "reject", "rejected").when(F.col("_place") <= budget, "investigate").otherwise("deferred")).drop("_place", "_last")
 
 
 def rescore_with_detail(queue: DataFrame, details: DataFrame, terms: ProfileTerms | None = None) -> DataFrame:

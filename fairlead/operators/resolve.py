@@ -143,16 +143,20 @@ def merge_snapshot(current: DataFrame, changes: DataFrame, key: str = "listing_i
 
 
 def write_snapshot(snapshot: DataFrame, root: str, version: int) -> str:
-    """Write a new version folder, then publish it by a pointer file; readers never see half a version."""
+    """Write a new version folder, then publish it by a pointer of its own; readers never see half a version.
+
+    Nothing that a reader may hold is overwritten: a pointer folder counts once its writer has marked it complete.
+    """
     path = f"{root}/v={version}"
     snapshot.write.mode("overwrite").parquet(path)
     spark = snapshot.sparkSession
-    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("overwrite").json(f"{root}/_pointer")
+    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("overwrite").json(f"{root}/pointers/of={version}")
     return path
 
 
 def read_snapshot(spark, root: str) -> DataFrame:
-    version = spark.read.schema("version long").json(f"{root}/_pointer").first()["version"]
+    """The highest version whose pointer is there."""
+    version = spark.read.schema("version long").json(f"{root}/pointers").agg(F.max("version")).first()[0]
     return spark.read.parquet(f"{root}/v={version}")
 
 

@@ -54,7 +54,7 @@ SELECT page_id, CASE WHEN claimed AND real_ THEN 'recurring_source' ELSE 'unclea
  CASE WHEN failed THEN 'unclear' WHEN feed THEN 'rss' WHEN rec THEN 'html_listing' ELSE 'unclear' END AS structure_type, ev || CASE WHEN claimed AND NOT real_ THEN '; downgraded_no_structure' ELSE '' END AS evidence_summary,
  CASE WHEN failed THEN NULL WHEN feed THEN 'rss' ELSE 'html' END AS kind FROM x""")
 dq("c07_strong_recurring", f"{REVIEWED} SELECT run_id, count(*) FILTER (verdict = 'recurring_source' AND confidence >= 0.55) AS strong FROM rv GROUP BY run_id")
-dq("c08_order_candidates", f"{REVIEWED} SELECT domain, verdict FROM rv ORDER BY CASE verdict WHEN 'recurring_source' THEN 0 WHEN 'unclear' THEN 1 ELSE 2 END, confidence DESC, domain LIMIT 30")
+dq("c08_order_candidates", f"{REVIEWED} SELECT domain, verdict FROM rv ORDER BY CASE verdict WHEN 'recurring_source' THEN 0 WHEN 'unclear' THEN 1 ELSE 2 END, confidence DESC, domain")
 
 
 def slug(x: str) -> str:
@@ -82,9 +82,15 @@ dq("c10_score_sources", SCORED + " SELECT user_id, source, score, reasons FROM s
 dq("c11_select_sources", SCORED + " SELECT user_id, source, priority, contains(reasons, 'user chip') AS user_selected, CASE WHEN reasons = '' THEN 'default' ELSE replace(reasons, '|', ', ') END AS selection_reason FROM top", V)
 SEL = SCORED + """, sel AS (SELECT user_id, source AS registry_id, url, name FROM top JOIN sources s ON s.registry_id = source UNION ALL SELECT user_id, 'extra1', 'https://extra.org/feed/', 'Extra' FROM profiles WHERE user_id % 9 = 0
  UNION ALL SELECT user_id, 'moved', 'https://www.site19.org/feed/', 'Moved' FROM profiles WHERE user_id % 9 = 1)"""
-dq("c12_activate_sources", SEL + """, o AS (SELECT *, registry_id IN (SELECT registry_id FROM sel) OR url IN (SELECT url FROM sel) AS hit FROM sources)
-SELECT registry_id, url, hit AS is_active, CASE WHEN hit THEN 'updated' WHEN is_active THEN 'deactivated' ELSE 'unchanged' END AS change FROM o
-UNION ALL SELECT DISTINCT registry_id, url, true, 'added' FROM sel WHERE registry_id NOT IN (SELECT registry_id FROM sources) AND url NOT IN (SELECT url FROM sources)""", V)
+dq("c12_activate_sources", SEL + """, st AS (SELECT * REPLACE (CASE WHEN id % 5 <> 4 THEN registry_id END AS registry_id) FROM sources), ca AS (SELECT registry_id FROM sources WHERE id % 3 <> 2),
+en AS (SELECT registry_id, min(url) AS url, min(name) AS name FROM sel GROUP BY 1),
+mt AS (SELECT e.*, coalesce(a.id, b.id) AS target FROM en e LEFT JOIN st a ON a.registry_id = e.registry_id LEFT JOIN st b ON a.id IS NULL AND b.url = e.url),
+hi AS (SELECT target, min(registry_id) AS registry_id, arg_min(url, registry_id) AS url, arg_min(name, registry_id) AS name FROM mt WHERE target IS NOT NULL GROUP BY 1),
+o AS (SELECT s.*, h.target IS NOT NULL AS hit, h.registry_id AS n_id, h.url AS n_url, h.name AS n_name, NOT coalesce(s.registry_id IN (SELECT registry_id FROM en), false) AND s.url NOT IN (SELECT url FROM en)
+  AND (s.registry_id IS NULL OR s.registry_id IN (SELECT registry_id FROM ca)) AS off_ FROM st s LEFT JOIN hi h ON h.target = s.id)
+SELECT coalesce(n_id, registry_id) AS registry_id, coalesce(n_url, url) AS url, coalesce(n_name, name) AS name, CASE WHEN hit THEN true WHEN off_ THEN false ELSE is_active END AS is_active,
+  CASE WHEN hit THEN 'updated' WHEN off_ AND is_active THEN 'deactivated' ELSE 'unchanged' END AS change FROM o
+UNION ALL SELECT registry_id, url, name, true, 'added' FROM mt WHERE target IS NULL""", V)
 ING = "SELECT DISTINCT user_id, id FROM sel JOIN sources s ON s.registry_id = sel.registry_id OR s.url = sel.url WHERE s.is_active"
 dq("c13_profile_ingest_sources", SEL + " " + ING, V)
 dq("j07_semi_selected_sources", SEL + f" SELECT DISTINCT id FROM ({ING})", V)

@@ -158,16 +158,18 @@ gq("g14_explain", f"""SELECT listing_id, array_to_string({_EV}[1:6], '|') AS evi
     CASE WHEN di_s IS NOT NULL THEN 'discipline' END, CASE WHEN de_s IS NOT NULL THEN 'degree' END, CASE WHEN re_s IS NOT NULL THEN 'region' END], lambda x: x IS NOT NULL), '|') AS matched,
   verdict || ' score=' || printf('%.2f', round_even(score, 2)) || ' | ' || reason || ' | ' || CASE WHEN len({_EV}) = 0 THEN 'no positive signals'
     ELSE 'evidence=' || array_to_string({_EV}[1:4], ', ') END AS explanation FROM gate""")
+ALL = "9223372036854775807"
 _LANES = """
-, head AS (SELECT * FROM gate QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY pos) <= 40),
+, head AS (SELECT * FROM gate QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY pos) <= {items}),
 lanes AS (SELECT *, CASE verdict WHEN 'admit' THEN 'admitted' WHEN 'reject' THEN 'rejected' ELSE CASE WHEN
   row_number() OVER (PARTITION BY source_id, verdict ORDER BY pos) <= {budget} THEN 'investigate' ELSE 'deferred' END END AS lane FROM head)"""
-gq("g15_triage", "SELECT source_id, listing_id, verdict, lane FROM lanes", _LANES.replace("{budget}", "5"))
+gq("g15_triage", "SELECT source_id, listing_id, verdict, lane FROM lanes", _LANES.replace("{budget}", "5").replace("{items}", "40"))
+gq("g15_triage_all", "SELECT source_id, listing_id, verdict, lane FROM lanes", _LANES.replace("{budget}", "5").replace("{items}", ALL))
 
 _second = """SELECT l.listing_id, l.source_id, l.pos, l.url, l.title, l.summary, d.text || CASE WHEN d.doc_id % 3 = 0 THEN
   ' Fellowship. Apply now, closing date 1 May.' ELSE '' END AS content, true AS detail, l.regions FROM lanes l JOIN documents d ON d.doc_id = l.listing_id
   WHERE lane IN ('admitted', 'investigate')"""
-_pass1 = gate_sql(ITEMS) + _LANES.replace("{budget}", "40")
+_pass1 = gate_sql(ITEMS) + _LANES.replace("{budget}", "40").replace("{items}", ALL)
 _inner = with_views("listings sources", _pass1 + "\n" + _second)
 oracle("g16_rescore_with_detail", "WITH seed AS (SELECT 1) " + gate_sql(f"SELECT * FROM ({_inner})") +
        "\nSELECT listing_id, verdict, reason, round(score, 4) AS score, CASE WHEN verdict = 'admit' THEN 'admitted' ELSE 'rejected_after_detail' END AS lane FROM gate")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from fairlead.bindings import with_views
-from fairlead.oracle.gate import _LANES, gq
+from fairlead.oracle.gate import ALL, _LANES, gq
 from fairlead.plans.registry import oracle
 
 
@@ -17,7 +17,7 @@ mq("m01_source_health", "sources listings runs", """SELECT s.id, s.name, s.is_ac
 gq("m02_run_stats", """SELECT source_id AS run_id, count(*) AS discovered, count(*) FILTER (lane = 'admitted') AS admitted, count(*) FILTER (lane = 'investigate') AS investigated,
  count(*) FILTER (lane = 'rejected') AS rejected_at_discover, 0::BIGINT AS rejected_after_detail, count(*) FILTER (lane = 'deferred') AS deferred,
  count(*) FILTER (lane = 'admitted' AND listing_id % 2 = 0) AS created, count(*) FILTER (lane = 'admitted' AND listing_id % 2 = 1) AS updated,
- count(*) FILTER (lane = 'investigate' AND listing_id % 5 = 0) AS errors FROM lanes GROUP BY source_id""", _LANES.replace("{budget}", "40"))
+ count(*) FILTER (lane = 'investigate' AND listing_id % 5 = 0) AS errors FROM lanes GROUP BY source_id""", _LANES.replace("{budget}", "40").replace("{items}", ALL))
 mq("m03_run_status", "runs", """SELECT run_id, CASE WHEN discovered = 0 THEN 'partial' WHEN errors > 0 AND created + updated = 0 THEN 'failed' WHEN errors > 0 THEN 'partial' ELSE 'completed' END AS outcome FROM runs""")
 TOT = """SELECT source_id, count(*) AS runs, CAST(sum(discovered) AS BIGINT) AS discovered_total, CAST(sum(admitted) AS BIGINT) AS admitted_total, CAST(sum(rejected) AS BIGINT) AS rejected_total,
  CAST(sum(created) AS BIGINT) AS created_total, CAST(sum(updated) AS BIGINT) AS updated_total, arg_max(run_id, row(finished_at, run_id)) AS last_run_id FROM runs GROUP BY source_id"""

@@ -12,7 +12,10 @@ def pq(name: str, sql: str, views: str = "page_hits") -> None:
 
 
 pq("s02_parse_rss_items", "SELECT batch_no AS source_id, page_id % 50 AS pos, url, md5(trim(title)) AS title_md5, 'Mon, 01 Jun 2026' AS published, org AS summary FROM page_hits WHERE page_id % 50 < 40")
-pq("s03_parse_sitemap_locs", "SELECT batch_no AS source_id, url FROM page_hits QUALIFY row_number() OVER (PARTITION BY batch_no ORDER BY page_id % 2, page_id) <= 30")
+pq("s03_parse_sitemap_locs", "SELECT DISTINCT source_id, url FROM (SELECT batch_no AS source_id, url FROM page_hits QUALIFY row_number() OVER (PARTITION BY batch_no ORDER BY page_id % 2, page_id) <= 30)")
+pq("s02_parse_rss_all", "SELECT batch_no AS source_id, page_id % 50 AS pos, url, md5(trim(title)) AS title_md5, 'Mon, 01 Jun 2026' AS published, org AS summary FROM page_hits")
+pq("s03_parse_sitemap_all", "SELECT DISTINCT batch_no AS source_id, url FROM page_hits")
+pq("s09_parse_markdown_all", "SELECT batch_no AS source_id, page_id % 50 AS pos, CASE WHEN page_id % 5 = 0 THEN 'https://maps.org/rel/' || page_id ELSE split_part(url, '#', 1) END AS url FROM page_hits")
 pq("s04_parse_wp_json_items", "SELECT batch_no AS source_id, page_id % 50 AS pos, url, md5(title) AS title_md5, '2026-06-01' AS published, org AS summary FROM page_hits WHERE page_id % 3 = 1")
 pq("s05_parse_custom_api_items", """SELECT batch_no AS source_id, page_id % 50 AS pos, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN 'https://posts.org/cat/post-' || page_id || '/' ELSE 'https://base.org/pic-' || page_id || '/' END AS url, org AS title,
  concat_ws(' · ', CASE WHEN page_id % 2 = 0 THEN 'Region: Africa' END, CASE WHEN page_id % 4 <> 3 THEN 'Deadline: ' || strftime(make_timestamp(CAST((1780000000 + page_id * 86400) * 1000000 AS BIGINT)), '%Y-%m-%d') END, CASE WHEN page_id % 5 <> 0 THEN 'Grants' END) AS summary FROM page_hits""")
@@ -46,5 +49,5 @@ pq("s19_calendar_export", f"""SELECT listing_id, md5(array_to_string(['BEGIN:VCA
  'BEGIN:VALARM', 'ACTION:DISPLAY', 'DESCRIPTION:Deadline reminder: ' || {esc('title')}, 'TRIGGER:-P1D', 'END:VALARM', 'END:VEVENT', 'END:VCALENDAR'], chr(13) || chr(10)) || chr(13) || chr(10)) AS ics_md5,
  '&dates=' || strftime(deadline, '%Y%m%d') || '/' || strftime(deadline + INTERVAL 1 DAY, '%Y%m%d') || '&details=' || replace(url_encode(url), '%2F', '/') AS tail FROM listings WHERE deadline IS NOT NULL""", "listings")
 pq("u01_parser_registry", r"""SELECT 'rss' AS strategy, count(*) AS n FROM page_hits UNION ALL SELECT 'wp_json', count(*) FROM page_hits UNION ALL SELECT 'sitemap', count(*) FROM page_hits
- UNION ALL SELECT 'html', CAST(sum(least(80, len(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=\s*["''][^"'']+["''][^>]*>.*?</a\s*>')))) AS BIGINT) FROM page_hits""")
+ UNION ALL SELECT 'html', CAST(sum(len(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=\s*["''][^"'']+["''][^>]*>.*?</a\s*>'))) AS BIGINT) FROM page_hits""")
 oracle("s01_load_tables", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in BASE_TABLES))

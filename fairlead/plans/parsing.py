@@ -31,6 +31,11 @@ def rss(b: Bindings) -> DataFrame:
                                    F.concat(F.lit("<rss><channel>"), F.array_join("parts", ""), F.lit("</channel></rss>")).alias("body"))
 
 
+@query("s02_parse_rss_all")
+def s02_all(b: Bindings):
+    return S.parse_rss_items(rss(b)).select("source_id", "pos", "url", F.md5("title").alias("title_md5"), "published", "summary")
+
+
 @query("s02_parse_rss_items")
 def s02(b: Bindings):
     return S.parse_rss_items(rss(b), 40).select("source_id", "pos", "url", F.md5("title").alias("title_md5"), "published", "summary")
@@ -40,11 +45,16 @@ def sitemaps(b: Bindings) -> DataFrame:
     def part(odd: int, tail: str):
         rows = _packed(b, F.when(F.col("page_id") % 2 == odd, F.concat(F.lit("<url><loc>"), "url", F.lit("</loc></url>"))).otherwise(""))
         name = F.concat(F.lit("https://maps.org/"), F.col("source_id").cast("string"))
-        head = F.concat(F.lit("<loc>"), name, F.lit("-part.xml</loc>")) if odd == 0 else F.lit("")
+        head = F.concat(F.lit("<loc>"), name, F.lit("/post-sitemap.xml</loc>")) if odd == 0 else F.lit("")
         return rows.select("source_id", F.lit("sitemap").alias("kind"), "page_no", F.concat(name, F.lit(tail)).alias("url"),
                            F.concat(F.lit("<urlset>"), head, F.array_join("parts", ""), F.lit("</urlset>")).alias("body"))
 
-    return part(0, ".xml").unionByName(part(1, "-part.xml"))
+    return part(0, ".xml").unionByName(part(1, "/post-sitemap.xml"))
+
+
+@query("s03_parse_sitemap_all")
+def s03_all(b: Bindings):
+    return S.parse_sitemap_locs(sitemaps(b)).select("source_id", "url")
 
 
 @query("s03_parse_sitemap_locs")
@@ -92,7 +102,7 @@ def pages_as_payloads(b: Bindings) -> DataFrame:
 
 @query("s07_parse_html_links")
 def s07(b: Bindings):
-    return S.parse_html_links(pages_as_payloads(b)).select("source_id", "pos", "url", "title")
+    return S.parse_html_links(pages_as_payloads(b), max_items=80).select("source_id", "pos", "url", "title")
 
 
 @query("s08_parse_id_links")
@@ -100,6 +110,15 @@ def s08(b: Bindings):
     return S.parse_id_links(pages_as_payloads(b), 'href="/([A-Za-z]+)"', "https://x.org/d/{id}").select("source_id", "pos", "url")
 
 
+@query("s09_parse_markdown_all")
+def s09_all(b: Bindings):
+    k = F.col("page_id")
+    link = F.concat(F.lit("* [t]("), F.when(k % 5 == 0, F.concat(F.lit("/rel/"), k.cast("string"), F.lit("#frag"))).otherwise(F.col("url")), F.lit(")"))
+    payloads = _packed(b, link).select("source_id", F.lit("markdown").alias("kind"), "page_no", F.lit("https://maps.org/x/y").alias("url"),
+                                       F.concat(F.lit("Title: [no](https://no.org)\n\nMarkdown Content:\n"), F.array_join("parts", "\n")).alias("body"))
+    return S.parse_markdown_links(payloads, r"\]\(([^)]+)\)").select("source_id", "pos", "url")
+
+
 @query("s09_parse_markdown_links")
 def s09(b: Bindings):
     k = F.col("page_id")

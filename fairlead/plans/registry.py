@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,4 +39,5 @@ def load() -> None:
 
 
 def run(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: QUERIES[name](Bindings(spark, sf_dir))
+    """The query by name. FAIRLEAD_TEXT_PARTITIONS is passed on to the bindings; without it, files decide."""
+    return lambda spark, sf_dir: QUERIES[name](Bindings(spark, sf_dir, int(os.environ.get("FAIRLEAD_TEXT_PARTITIONS", "0")) or None))

@@ -129,10 +129,10 @@ DEGREE_TOKENS = {
 }
 
 CITIZENSHIP = [
-    ("us_citizens_only", r"(?i)\bus\s+citizens?\s+only\b", "Listing restricted to US citizens"),
-    ("eu_citizens_only", r"(?i)\beu\s+citizens?\s+only\b", "Listing restricted to EU citizens"),
-    ("uk_citizens_only", r"(?i)\buk\s+citizens?\s+only\b", "Listing restricted to UK citizens"),
-    ("domestic_only", r"(?i)\bdomestic\s+students?\s+only\b", "Domestic students only"),
+    ("us_citizens_only", r"(?i)\bus\s+citizen[s]?\s+only\b", "Listing restricted to US citizens"),
+    ("eu_citizens_only", r"(?i)\beu\s+citizen[s]?\s+only\b", "Listing restricted to EU citizens"),
+    ("uk_citizens_only", r"(?i)\buk\s+citizen[s]?\s+only\b", "Listing restricted to UK citizens"),
+    ("domestic_only", r"(?i)\bdomestic\s+student[s]?\s+only\b", "Domestic students only"),
 ]
 US_NATIONALITIES = ["united states", "usa", "us", "u.s."]
 EU_HINTS = ["germany", "france", "italy", "spain", "netherlands", "poland", "europe"]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "fairlead") -> SparkSession:
+def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "fairlead", driver_memory: str = "8g") -> SparkSession:
     """A session for tests and benches; on a cluster the caller brings its own."""
     spark = (
         SparkSession.builder.master(master)
@@ -16,7 +18,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", driver_memory)
         .config("spark.ui.enabled", "false")
         # Call-site capture costs several driver round trips per column; rule-heavy plans have thousands.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -35,11 +37,16 @@ def pin_utc(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; a private one only where the cluster names none."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only a local session may do without one and gets a
+    folder of its own, removed when Python ends; elsewhere executors would not see it, so that is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="fairlead-ckpt-")
+    atexit.register(shutil.rmtree, local, True)
     spark.conf.set("spark.checkpoint.dir", local)
     return local
 

@@ -29,13 +29,21 @@ def _items(df: DataFrame, strategy: str) -> DataFrame:
 
 def _pos(payloads: DataFrame) -> Column:
     """Place of an item over all payloads of its source: payload number first, then place inside."""
-    return (F.col("page_no") * 100_000 + F.col("i")).cast("bigint")
+    return (F.col("page_no").cast("bigint") * F.lit(1 << 32) + F.col("i")).cast("bigint")
 
 
-def parse_rss_items(payloads: DataFrame, max_entries: int = 50) -> DataFrame:
+def _first(rows: DataFrame, n: int | None) -> DataFrame:
+    """All rows, or the first n of each source."""
+    if n is None:
+        return rows
+    return rows.withColumn("n", F.row_number().over(W.partitionBy("source_id").orderBy("pos"))).filter(F.col("n") <= n)
+
+
+def parse_rss_items(payloads: DataFrame, max_entries: int | None = None) -> DataFrame:
     schema = "channel struct<item:array<struct<link:string,title:string,pubDate:string,updated:string,description:string,summary:string>>>"
     parsed = payloads.withColumn("x", F.from_xml("body", schema, {"rowTag": "rss"}))
-    flat = parsed.select("source_id", "page_no", F.posexplode(F.slice("x.channel.item", 1, max_entries)).alias("i", "e"))
+    entries = F.col("x.channel.item") if max_entries is None else F.slice("x.channel.item", 1, max_entries)
+    flat = parsed.select("source_id", "page_no", F.posexplode(entries).alias("i", "e"))
     rows = flat.select("source_id", _pos(flat).alias("pos"), F.trim(_blank(F.col("e.link"))).alias("url"), F.trim(_blank(F.col("e.title"))).alias("title"),
                        F.coalesce("e.pubDate", "e.updated", F.lit("")).alias("published"), F.coalesce("e.summary", "e.description", F.lit("")).alias("summary"))
     return _items(rows.filter(F.col("url") != ""), "rss")
@@ -51,23 +59,32 @@ def sitemap_locs(body: Column) -> Column:
     return F.when(F.size(locs) > 0, locs).otherwise(F.array_distinct(F.filter(links, lambda u: u != "")))
 
 
-def parse_sitemap_locs(payloads: DataFrame, include: Sequence[str] = (), max_urls: int = 100, max_nested: int = 5) -> DataFrame:
-    """Locations of index payloads and of the first nested sitemaps they name (a self-join on the address)."""
+def parse_sitemap_locs(payloads: DataFrame, include: Sequence[str] = (), max_urls: int | None = None, max_nested: int | None = None) -> DataFrame:
+    """Locations of index payloads and of the nested sitemaps they name, the first one of each address.
+
+    A payload is nested if another one of its source names its address; the rest are indexes. max_nested takes the first
+    so many of a source, max_urls its first so many addresses.
+    """
     locs = payloads.select("source_id", "page_no", F.col("url").alias("from_url"), F.posexplode(sitemap_locs(F.col("body"))).alias("i", "loc"))
-    top = locs.filter(~F.col("from_url").endswith("-part.xml"))
-    nested = top.filter(F.col("loc").endswith(".xml")).withColumn(
-        "n", F.row_number().over(W.partitionBy("source_id").orderBy("page_no", "i"))).filter(F.col("n") <= max_nested)
-    inner = nested.select("source_id", "n", F.col("loc").alias("from_url")).join(
-        locs.select(F.col("from_url"), "i", "loc"), "from_url").select("source_id", (F.col("n") * 100_000_000 + F.col("i")).cast("bigint").alias("pos"), F.col("loc").alias("url"))
-    direct = top.filter(~F.col("loc").endswith(".xml")).select("source_id", _pos(top).alias("pos"), F.col("loc").alias("url"))
+    named = locs.filter(F.col("loc") != F.col("from_url")).select("source_id", F.col("loc").alias("from_url")).distinct()
+    top = locs.join(named, ["source_id", "from_url"], "left_anti")
+    nested = top.filter(F.col("loc").endswith(".xml")).select("source_id", F.struct(F.lit(1).alias("late"), "page_no", "i").alias("place"), F.col("loc").alias("from_url"))
+    if max_nested is not None:
+        nested = nested.withColumn("n", F.row_number().over(W.partitionBy("source_id").orderBy("place"))).filter(F.col("n") <= max_nested)
+    inner = nested.join(locs.select("source_id", "from_url", F.col("i").alias("k"), "loc"), ["source_id", "from_url"]).select(
+        "source_id", F.struct("place.late", "place.page_no", "place.i", "k").alias("pos"), F.col("loc").alias("url"))
+    direct = top.filter(~F.col("loc").endswith(".xml")).select("source_id", F.struct(F.lit(0).alias("late"), "page_no", "i", F.lit(0).alias("k")).alias("pos"), F.col("loc").alias("url"))
     both = direct.unionByName(inner)
     if include:
         wanted = F.lit(False)
         for p in include:
             wanted = wanted | F.col("url").rlike(p)
         both = both.filter(wanted)
-    head = both.withColumn("n", F.row_number().over(W.partitionBy("source_id").orderBy("pos"))).filter(F.col("n") <= max_urls)
-    return _items(head.withColumn("title", U.title_from_slug("url")), "sitemap")
+    # The cap counts before repeated addresses go, as a reader that stops at it would.
+    once = _first(both, max_urls).groupBy("source_id", "url").agg(F.min("pos").alias("pos"))
+    placed = once.withColumn("pos", (F.col("pos.late").cast("bigint") * F.lit(1 << 62) + F.col("pos.page_no").cast("bigint") * F.lit(1 << 42)
+                                     + F.col("pos.i").cast("bigint") * F.lit(1 << 21) + F.col("pos.k")).cast("bigint"))
+    return _items(placed.withColumn("title", U.title_from_slug("url")), "sitemap")
 
 
 def parse_wp_json_items(payloads: DataFrame, category_slugs: Sequence[str] = (), categories: DataFrame | None = None) -> DataFrame:
@@ -115,7 +132,7 @@ def parse_search_api_items(payloads: DataFrame, url_template: str) -> DataFrame:
     return _items(rows, "search_api")
 
 
-def parse_html_links(payloads: DataFrame, link_pattern: str = "", max_items: int = 80) -> DataFrame:
+def parse_html_links(payloads: DataFrame, link_pattern: str = "", max_items: int | None = None) -> DataFrame:
     """Anchors as absolute addresses with their text; the pattern selects by the written reference."""
     tags = F.regexp_extract_all("body", F.lit(r"(?is)(<a\b[^>]*>.*?</a\s*>)"), F.lit(1))
     flat = payloads.select("source_id", "page_no", F.col("url").alias("base"), F.posexplode(tags).alias("i", "tag"))
@@ -123,8 +140,7 @@ def parse_html_links(payloads: DataFrame, link_pattern: str = "", max_items: int
     if link_pattern:
         flat = flat.filter(F.col("href").rlike(link_pattern))
     rows = flat.select("source_id", _pos(flat).alias("pos"), U.absolute_url(F.col("href"), F.col("base")).alias("url"), T.strip_html("tag").alias("title")).filter(F.col("url").startswith("http"))
-    head = rows.withColumn("n", F.row_number().over(W.partitionBy("source_id").orderBy("pos"))).filter(F.col("n") <= max_items)
-    return _items(head, "html")
+    return _items(_first(rows, max_items), "html")
 
 
 def parse_id_links(payloads: DataFrame, id_pattern: str, url_template: str = "") -> DataFrame:
@@ -136,15 +152,14 @@ def parse_id_links(payloads: DataFrame, id_pattern: str, url_template: str = "")
     return _items(flat.select("source_id", _pos(flat).alias("pos"), url.alias("url")), "html_paginated")
 
 
-def parse_markdown_links(payloads: DataFrame, link_pattern: str, max_items: int = 80) -> DataFrame:
+def parse_markdown_links(payloads: DataFrame, link_pattern: str, max_items: int | None = None) -> DataFrame:
     """Links of reader markdown after its content marker, absolute and without fragment."""
     body = F.when(F.contains("body", F.lit("Markdown Content:")), F.trim(F.regexp_extract("body", r"(?s)Markdown Content:(.*)", 1))).otherwise(F.col("body"))
     flat = payloads.select("source_id", "page_no", F.col("url").alias("base"), F.posexplode(F.regexp_extract_all(body, F.lit(link_pattern), F.lit(1))).alias("i", "raw"))
     clean = F.trim(F.regexp_replace(F.trim("raw"), r"""^["']+|["']+$""", ""))
     full = F.when(clean.startswith("http"), F.regexp_extract(clean, r"""^([^"']*)""", 1)).otherwise(U.absolute_url(clean, F.col("base")))
     rows = flat.select("source_id", _pos(flat).alias("pos"), F.trim(F.split_part(full, F.lit("#"), F.lit(1))).alias("url"))
-    head = rows.withColumn("n", F.row_number().over(W.partitionBy("source_id").orderBy("pos"))).filter(F.col("n") <= max_items)
-    return _items(head, "markdown")
+    return _items(_first(rows, max_items), "markdown")
 
 
 # Parser by payload kind; register() adds further kinds.
