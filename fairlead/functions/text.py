@@ -7,10 +7,8 @@ import re
 import unicodedata
 from collections.abc import Iterable, Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from fairlead.rules import fact_rules as fr
 from fairlead.rules import gate_rules as gr
@@ -19,20 +17,24 @@ def no_strings() -> Column:
     return F.array().cast("array<string>")
 
 
-def _fold_table() -> tuple[str, str]:
-    """Precomposed Latin, Greek and Cyrillic letters that decompose to one base letter plus marks."""
-    src, dst = [], []
-    for lo, hi in ((0xA0, 0x250), (0x370, 0x530), (0x1E00, 0x2000)):
-        for cp in range(lo, hi):
-            ch = chr(cp)
-            base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
-            if len(base) == 1 and base != ch:
-                src.append(ch)
-                dst.append(base)
-    return "".join(src), "".join(dst)
+def _fold_tables() -> tuple[str, str, list[dict[str, str]]]:
+    """Characters that stand for one other character once taken apart and stripped of marks, and those for several."""
+    src, dst, several = [], [], []
+    for cp in (*range(0xA0, 0x3400), *range(0xFB00, 0xFB07), *range(0xFE50, 0xFFF0)):
+        ch = chr(cp)
+        base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
+        if base == ch or unicodedata.combining(ch) or "HANGUL" in unicodedata.name(ch, ""):
+            continue
+        if len(base) == 1:
+            src.append(ch)
+            dst.append(base)
+        elif base:
+            several.append({"k": ch, "v": base})
+    return "".join(src), "".join(dst), several
 
 
-_FOLD_FROM, _FOLD_TO = _fold_table()
+_FOLD_FROM, _FOLD_TO, _SEVERAL = _fold_tables()
+_HAS_SEVERAL = "[" + "".join(x["k"] for x in _SEVERAL) + "]"
 
 
 def col(x: Column | str) -> Column:
@@ -57,22 +59,21 @@ def str_array(items: Iterable[str]) -> Column:
 
 
 def normalize_text(text: Column | str) -> Column:
-    """Accent-free lower case with punctuation as single spaces (letters with one base letter)."""
-    folded = F.regexp_replace(F.translate(F.coalesce(col(text), F.lit("")), _FOLD_FROM, _FOLD_TO), r"\p{M}", "")
+    """Accent-free lower case with punctuation as single spaces. Ligatures, fractions and the like are replaced one by
+    one, in the rare texts that hold any."""
+    raw = F.coalesce(col(text), F.lit(""))
+    table = literal(_SEVERAL, "array<struct<k:string,v:string>>")
+    apart = F.when(raw.rlike(_HAS_SEVERAL), F.aggregate(table, raw, lambda t, x: F.replace(t, x["k"], x["v"]))).otherwise(raw)
+    folded = F.regexp_replace(F.translate(apart, _FOLD_FROM, _FOLD_TO), r"\p{M}", "")
     spaced = F.regexp_replace(F.lower(folded), r"[^\p{L}\p{N}_\s$€£%.,/+\-]", " ")
     return F.trim(F.regexp_replace(spaced, r"\s+", " "))
 
 
-def normalize_py(text: str | None) -> str:
-    """Full compatibility decomposition, for terms known at planning time and for the exact variant."""
-    flat = "".join(c for c in unicodedata.normalize("NFKD", text or "") if not unicodedata.combining(c))
-    return " ".join(re.sub(r"[^\w\s$€£%.,/+-]", " ", flat.lower()).split())
-
-
-@F.pandas_udf(StringType())
-def normalize_text_exact(text: pd.Series) -> pd.Series:
-    """Arrow variant for corpora with ligatures, full-width forms and other multi-letter decompositions."""
-    return text.map(normalize_py)
+def normalize_py(term: str | None) -> str:
+    """The same for terms known at planning time."""
+    apart = unicodedata.normalize("NFKD", term or "")
+    kept = [c if c.isalnum() or c in gr.KEPT_MARKS else " " for c in apart.lower() if not unicodedata.combining(c)]
+    return " ".join("".join(kept).split())
 
 
 def url_words(url: Column | str) -> Column:

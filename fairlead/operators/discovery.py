@@ -49,10 +49,19 @@ def anchors(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""), F.lit(1))
 
 
+def links_within(tag: str, css_class: str) -> str:
+    """A pattern for an element of this tag and class with a link before the tag closes."""
+    wanted = rf"""[^>]*\bclass\s*=\s*["']([^"']*\s)?{css_class}(\s[^"']*)?["']""" if css_class else ""
+    closing = r"\1" if tag.startswith("(") else tag
+    return rf"(?s)<{tag}\b{wanted}[^>]*>((?!</{closing}\s*>).)*?<a\b[^>]*href"
+
+
 def page_structure(pages: DataFrame) -> DataFrame:
     """Feed links, same-host listing links, pagination and category hints of each page (page_id, url, html)."""
-    feeds = F.regexp_extract_all("html", F.lit(r"(?is)<link\b[^>]*application/(?:rss|atom)[^>]*>"), F.lit(0))
-    hrefs = F.filter(F.transform(feeds, lambda t: F.regexp_extract(t, r"""(?is)href\s*=\s*["']([^"']*)["']""", 1)), lambda h: h != "")
+    tags = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<link\b[^>]*>"), F.lit(0)), lambda t: F.struct(
+        t.alias("tag"), F.regexp_extract(t, r"""(?is)\bhref\s*=\s*["']([^"']*)["']""", 1).alias("href")))
+    feeds = F.filter(tags, lambda t: (t["href"] != "") & (t["tag"].rlike(r"(?i)application/(rss|atom)") | t["href"].endswith("/feed")))
+    hrefs = F.transform(feeds, lambda t: t["href"])
     links = F.filter(anchors(F.col("html")), lambda h: ~h.startswith("#") & ~h.startswith("mailto:"))
     staged = pages.withColumns({"_feeds": hrefs, "_links": links, "_host": U.url_parts("url")["netloc"]})
     full = F.transform("_links", lambda h: U.absolute_url(h, F.col("url")))
@@ -63,8 +72,8 @@ def page_structure(pages: DataFrame) -> DataFrame:
     return staged.select(
         "page_id", (F.size("_feeds") > 0).alias("has_rss_feed"), F.transform("_feeds", lambda h: U.absolute_url(h, F.col("url"))).alias("rss_urls"),
         F.size("_wanted").alias("listing_link_count"), F.slice("_wanted", 1, 8).alias("sample_listing_urls"),
-        (F.contains(low, F.lit("next page")) | F.contains(low, F.lit("pagination")) | low.rlike(r"(?s)<nav\b.*?<a\b")).alias("has_pagination"),
-        low.rlike(r'class="[^"]*(categories|category|menu)').alias("has_category_nav"),
+        (F.contains(low, F.lit("next page")) | F.contains(low, F.lit("pagination")) | low.rlike(links_within("nav", "")) | low.rlike(links_within(r"(\w+)", "page-numbers"))).alias("has_pagination"),
+        (low.rlike(links_within("ul", "categories")) | low.rlike(links_within(r"(\w+)", "category")) | low.rlike(links_within("nav", "menu"))).alias("has_category_nav"),
         F.when(F.size("_wanted") >= 5, "article h2 a, h2.entry-title a, .post-title a, main a").alias("suggested_link_selector"))
 
 

@@ -35,7 +35,7 @@ SELECT domain, {best_url('url')} AS discovered_url, md5(substr(title, 1, 500)) A
 dq("c03_domain_score", f"""{HITS}, h AS (SELECT *, CASE pos % 5 WHEN 0 THEN {host('url')} || '.ac.uk' WHEN 1 THEN 'reddit.com' ELSE {host('url')} END AS d FROM hi)
 SELECT pos, round({dscore('d', 'snippet', 'title')} + 1e-9, 4) AS score FROM h""")
 STRUCT = rf"""st AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin, CASE page_id % 4 WHEN 0 THEN '<link rel="alternate" type="application/rss+xml" href="/feed"><a href="/scholarship/1">x</a>'
- WHEN 1 THEN '<a href="/grant/1">a</a><a href="grant/2">b</a><a href="/2026/x">c</a><a href="#top">t</a><a href="https://other.org/grant/9">o</a>'
+ WHEN 1 THEN '<a href="/grant/1">a</a><a href="grant/2">b</a><a href="/2026/x">c</a><a href="#top">t</a><a href="https://other.org/grant/9">o</a><div class="x category"><p><a href="#c">c</a></p></div><nav>none</nav>'
  WHEN 2 THEN '<a href="/funding/1">a</a><a href="/funding/2">a</a><a href="/funding/3">a</a><a href="/funding/4">a</a><a href="/funding/5">a</a><a href="mailto:a@b.c">m</a>' ELSE '' END || html AS html FROM pages),
 an AS (SELECT *, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1) AS hrefs FROM st),
 ln AS (SELECT page_id, url, origin, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) AS i FROM an),
@@ -43,8 +43,8 @@ ab AS (SELECT *, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THE
   WHEN starts_with(href, '?') THEN regexp_extract(url, '^([^?#]*)', 1) || href ELSE regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '[^/]*$', '') || href END AS full_url FROM ln WHERE NOT starts_with(href, '#') AND NOT starts_with(href, 'mailto:')),
 wn AS (SELECT *, regexp_extract(full_url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p FROM ab WHERE starts_with(full_url || '/', origin || '/') OR starts_with(full_url, origin || '?')),
 w2 AS (SELECT page_id, count(*) AS n, arg_min(full_url, i) AS first_link FROM wn WHERE regexp_matches(p, {q(fr.LISTING_PATH)}) OR regexp_matches(p, {q(fr.DATE_PATH)}) GROUP BY page_id),
-ps AS (SELECT a.page_id, a.url, a.page_id % 4 = 0 AS feed, coalesce(n, 0) AS links, first_link, contains(lower(html), 'next page') OR contains(lower(html), 'pagination') OR regexp_matches(lower(html), '(?s)<nav\b.*?<a\b') AS pag,
-  regexp_matches(lower(html), 'class="[^"]*(categories|category|menu)') AS nav, origin FROM an a LEFT JOIN w2 USING (page_id)),
+ps AS (SELECT a.page_id, a.url, a.page_id % 4 = 0 AS feed, coalesce(n, 0) AS links, first_link, contains(lower(html), 'next page') OR contains(lower(html), 'pagination') OR len(list_filter(string_split(lower(html), '<nav'), lambda x, i: i > 1 AND contains(split_part(x, '</nav', 1), '<a '))) > 0 AS pag,
+  a.page_id % 4 = 1 AS nav, origin FROM an a LEFT JOIN w2 USING (page_id)),
 rc AS (SELECT *, feed OR links >= 5 OR (links >= 3 AND (pag OR nav)) AS rec FROM ps)"""
 dq("c04_page_structure", STRUCT + " SELECT page_id, feed AS has_rss_feed, CAST(links AS BIGINT) AS links, first_link, CASE WHEN feed THEN origin || '/feed' END AS feed, pag AS has_pagination, links >= 5 AS selector FROM ps")
 dq("c05_recurring_structure", STRUCT + " SELECT page_id, rec AS recurring FROM rc")

@@ -52,8 +52,8 @@ def c03(b: Bindings):
 
 def structured(b: Bindings) -> DataFrame:
     """Pages, some with feed links and listing anchors added."""
-    extra = (F.when(F.col("page_id") % 4 == 0, F.lit('<link rel="alternate" type="application/rss+xml" href="/feed"><a href="/scholarship/1">x</a>'))
-             .when(F.col("page_id") % 4 == 1, F.lit('<a href="/grant/1">a</a><a href="grant/2">b</a><a href="/2026/x">c</a><a href="#top">t</a><a href="https://other.org/grant/9">o</a>'))
+    extra = (F.when(F.col("page_id") % 4 == 0, F.concat(F.when(F.col("page_id") % 8 == 0, '<link rel="alternate" type="application/rss+xml" href="/feed">').otherwise('<link href="/feed">'), F.lit('<a href="/scholarship/1">x</a>')))
+             .when(F.col("page_id") % 4 == 1, F.lit('<a href="/grant/1">a</a><a href="grant/2">b</a><a href="/2026/x">c</a><a href="#top">t</a><a href="https://other.org/grant/9">o</a><div class="x category"><p><a href="#c">c</a></p></div><nav>none</nav>'))
              .when(F.col("page_id") % 4 == 2, F.lit('<a href="/funding/1">a</a><a href="/funding/2">a</a><a href="/funding/3">a</a><a href="/funding/4">a</a><a href="/funding/5">a</a><a href="mailto:a@b.c">m</a>')).otherwise(F.lit("")))
     return b.pages.select("page_id", "url", F.concat(extra, "html").alias("html"))
 

@@ -172,3 +172,6 @@ DRAFT_TITLES = ["test page", "sample test"]
 INVESTIGATION_BUDGET = 40
 MAX_ITEMS_PER_SOURCE = 40
 MAX_PENDING = 50
+
+# What normalisation keeps besides letters and digits.
+KEPT_MARKS = "_$€£%.,/+-"

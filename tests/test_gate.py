@@ -81,6 +81,12 @@ def test_text_matching(spark):
     assert r[0] == "partly-paid bursary 2027" and r[1] == ["$2,500"] and r[2] == ["€750.000"]
 
 
+def test_compatibility_forms_are_taken_apart(spark):
+    texts = ["ﬁne ﬂags oﬃce", "½ of the ﬀ", "Ｆｕｌｌ ｗｉｄｔｈ", "x² ™ № … Ⅳ", "Ärger naïve Ñandú ς", "plain, text/2-3 + 5%", "a\u0301b ệ"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.normalize_text("t")).collect()
+    assert [r[0] for r in got] == [T.normalize_py(t) for t in texts]
+
+
 def test_data_terms_equal_planned_terms(spark, tables):
     terms = ["Research grant", "monthly stipend", "summer-school", "Masters programme", "masters  programme"]
     df = tables.listings.select(T.normalize_text(F.concat_ws(" ", "title", "summary")).alias("t")).withColumn("terms", T.str_array(terms))
