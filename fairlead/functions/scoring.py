@@ -68,6 +68,12 @@ def composite(parts: dict[str, tuple[Column, Column]]) -> Column:
     return F.when(bottom == 0, zero()).otherwise(top / bottom)
 
 
+def applied_weights(available: dict[str, Column]) -> Column:
+    """Map of component to weight, of those that are available."""
+    entries = F.array(*[F.when(on, F.struct(F.lit(name).alias("key"), F.lit(fr.COMPONENT_WEIGHTS[name]).alias("value"))) for name, on in available.items()])
+    return F.map_from_entries(F.array_compact(entries))
+
+
 def status_base(status: Column) -> Column:
     out = F.lit(0.5)
     for name, value in fr.STATUS_SIGNAL.items():

@@ -211,6 +211,11 @@ def profile_ingest_sources(selection: DataFrame, sources: DataFrame) -> DataFram
     return by_id.unionByName(by_url).distinct()
 
 
+def source_url(urls: Column) -> Column:
+    """The address of a registry entry that names one, or a list of which the first counts."""
+    return F.coalesce(F.get(urls, F.lit(0)), F.lit(""))
+
+
 def due_sources(sources: DataFrame, as_of: Column) -> DataFrame:
     return sources.filter(F.col("is_active") & (F.col("next_fetch_at").isNull() | (F.col("next_fetch_at") <= as_of)))
 

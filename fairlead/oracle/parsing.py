@@ -14,6 +14,8 @@ def pq(name: str, sql: str, views: str = "page_hits") -> None:
 pq("s02_parse_rss_items", "SELECT batch_no AS source_id, page_id % 50 AS pos, url, md5(trim(title)) AS title_md5, 'Mon, 01 Jun 2026' AS published, org AS summary FROM page_hits WHERE page_id % 50 < 40")
 pq("s03_parse_sitemap_locs", "SELECT DISTINCT source_id, url FROM (SELECT batch_no AS source_id, url FROM page_hits QUALIFY row_number() OVER (PARTITION BY batch_no ORDER BY page_id % 2, page_id) <= 30)")
 pq("s02_parse_rss_all", "SELECT batch_no AS source_id, page_id % 50 AS pos, url, md5(trim(title)) AS title_md5, 'Mon, 01 Jun 2026' AS published, org AS summary FROM page_hits")
+pq("s02_parse_feed_kinds", """SELECT batch_no AS source_id, page_id % 50 AS pos, url, md5(trim(title)) AS title_md5, CASE batch_no % 3 WHEN 0 THEN '2026-06-01T00:00:00Z' WHEN 1 THEN '2026-06-02' ELSE 'Mon, 01 Jun 2026' END AS published, org AS summary FROM page_hits""")
+oracle("s07_parse_heading_links", """SELECT page_id AS source_id, k * 65536 AS pos, 'https://list.org/' || (CASE k WHEN 0 THEN 'e/' ELSE 'f/' END) || page_id AS url, CASE k WHEN 0 THEN 'Entry one' ELSE 'Entry two' END AS title FROM pages, (VALUES (0::BIGINT), (1::BIGINT)) v(k)""")
 pq("s03_parse_sitemap_all", "SELECT DISTINCT batch_no AS source_id, url FROM page_hits")
 pq("s09_parse_markdown_all", "SELECT batch_no AS source_id, page_id % 50 AS pos, CASE WHEN page_id % 5 = 0 THEN 'https://maps.org/rel/' || page_id ELSE split_part(url, '#', 1) END AS url FROM page_hits")
 pq("s04_parse_wp_json_items", "SELECT batch_no AS source_id, page_id % 50 AS pos, url, md5(title) AS title_md5, '2026-06-01' AS published, org AS summary FROM page_hits WHERE page_id % 3 = 1")

@@ -123,7 +123,8 @@ oracle("r07_affinity_profile", with_views(VIEWS, SIDES + "\nSELECT user_id, kind
 rq("r08_affinity_score", "SELECT user_id, listing_id, round(affinity + 1e-9, 4) AS affinity FROM sc")
 oracle("r09_composite", with_views("feedback", """SELECT user_id, listing_id, round((CASE WHEN has_semantic THEN 0.45::DOUBLE * semantic ELSE 0 END + 0.3::DOUBLE * eligibility
   + CASE WHEN has_urgency THEN 0.15::DOUBLE * urgency ELSE 0 END + CASE WHEN NOT hide_percent THEN 0.1::DOUBLE * fit_score ELSE 0 END)
-  / (CASE WHEN has_semantic THEN 0.45::DOUBLE ELSE 0 END + 0.3::DOUBLE + CASE WHEN has_urgency THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN NOT hide_percent THEN 0.1::DOUBLE ELSE 0 END) + 1e-9, 4) AS composite FROM feedback"""))
+  / (CASE WHEN has_semantic THEN 0.45::DOUBLE ELSE 0 END + 0.3::DOUBLE + CASE WHEN has_urgency THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN NOT hide_percent THEN 0.1::DOUBLE ELSE 0 END) + 1e-9, 4) AS composite,
+  concat_ws('|', CASE WHEN has_semantic THEN 'semantic=0.45' END, 'eligibility=0.3', CASE WHEN has_urgency THEN 'urgency=0.15' END, CASE WHEN NOT hide_percent THEN 'affinity=0.1' END) AS weights FROM feedback"""))
 
 _EVID = ("list_filter(list_concat(research_interests, list_concat(target_universities, skills)), lambda t: length(t) >= 3 AND contains(body_low, lower(t)) "
          f"AND NOT list_contains({lst(fr.STOPWORDS)}, lower(t)))[1:4]")
@@ -161,7 +162,8 @@ SELECT user_id, listing_id, array_to_string(list_transform(rs, lambda x: x.code)
  len(parts) = 0 OR len(list_filter(rs, lambda x: x.src <> 'system')) = 0 AS hide_percent, array_to_string(ev, '|') AS evidence FROM rr JOIN r0 USING (user_id, listing_id)""")
 rq("r11_score_breakdown", """SELECT user_id, listing_id, round(sem, 4) AS semantic, CASE WHEN cos IS NOT NULL THEN 'cosine' ELSE 'lexical' END AS semantic_method, elig AS eligibility,
  CASE WHEN due IS NOT NULL THEN round(urg, 4) ELSE 0.0::DOUBLE END AS urgency, round(affinity, 4) AS affinity, round(composite + 1e-9, 4) AS composite, hard AS hard_eligibility_failed,
- CASE WHEN due IS NOT NULL THEN 'semantic|eligibility|urgency|affinity' ELSE 'semantic|eligibility|affinity' END AS components FROM sc""")
+ CASE WHEN due IS NOT NULL THEN 'semantic|eligibility|urgency|affinity' ELSE 'semantic|eligibility|affinity' END AS components,
+ CASE WHEN due IS NOT NULL THEN 'semantic=0.45|eligibility=0.3|urgency=0.15|affinity=0.1' ELSE 'semantic=0.45|eligibility=0.3|affinity=0.1' END AS weights FROM sc""")
 LIVE = f"""duplicate_of IS NULL AND NOT starts_with(url_hash, 'demo-') AND (deadline IS NULL OR deadline >= {AS_OF_SQL}) AND (verification_status IS NULL OR verification_status <> 'stale')"""
 ALL_PAIRS = f"""SELECT p.user_id, l.listing_id, f.status FROM (SELECT user_id FROM profiles) p, (SELECT listing_id FROM listings WHERE {LIVE}) l
  LEFT JOIN feedback f ON f.user_id = p.user_id AND f.listing_id = l.listing_id"""

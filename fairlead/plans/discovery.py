@@ -173,7 +173,7 @@ def s14(b: Bindings):
 @query("s17_normalize_source_url")
 def s17(b: Bindings):
     listed = F.when(F.col("id") % 2 == 0, F.array("url")).otherwise(F.array("url", F.lit("https://mirror.org")))
-    return b.sources.select("id", F.coalesce(F.get(listed, F.lit(0)), F.lit("")).alias("url"))
+    return b.sources.select("id", C.source_url(listed).alias("url"))
 
 
 @query("s18_validate_registry")

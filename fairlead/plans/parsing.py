@@ -31,6 +31,25 @@ def rss(b: Bindings) -> DataFrame:
                                    F.concat(F.lit("<rss><channel>"), F.array_join("parts", ""), F.lit("</channel></rss>")).alias("body"))
 
 
+def feeds(b: Bindings) -> DataFrame:
+    """The same pages as Atom, RDF or RSS, by batch."""
+    def of(entry, head: str, tail: str):
+        return _packed(b, entry).select("source_id", F.lit("rss").alias("kind"), "page_no", F.lit("https://feeds.org/").alias("url"), F.concat(F.lit(head), F.array_join("parts", ""), F.lit(tail)).alias("body"))
+
+    atom = F.concat(F.lit('<entry><link rel="self" href="https://self.org/"/><link href="'), _escaped("url"), F.lit('"/><title type="text">'), _escaped("title"),
+                    F.lit("</title><updated>2026-06-01T00:00:00Z</updated><summary>"), _escaped("org"), F.lit("</summary></entry>"))
+    rdf = F.concat(F.lit("<item><title>"), _escaped("title"), F.lit("</title><link>"), _escaped("url"), F.lit("</link><description>"), _escaped("org"), F.lit("</description><dc:date>2026-06-02</dc:date></item>"))
+    by = F.col("source_id") % 3
+    return (of(atom, '<feed xmlns="http://www.w3.org/2005/Atom"><title>all</title>', "</feed>").filter(by == 0)
+            .unionByName(of(rdf, '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>all</title></channel>', "</rdf:RDF>").filter(by == 1))
+            .unionByName(rss(b).filter(by == 2)))
+
+
+@query("s02_parse_feed_kinds")
+def s02_kinds(b: Bindings):
+    return S.parse_feed_items(feeds(b)).select("source_id", "pos", "url", F.md5("title").alias("title_md5"), "published", "summary")
+
+
 @query("s02_parse_rss_all")
 def s02_all(b: Bindings):
     return S.parse_rss_items(rss(b)).select("source_id", "pos", "url", F.md5("title").alias("title_md5"), "published", "summary")
@@ -105,6 +124,14 @@ def s07(b: Bindings):
     return S.parse_html_links(pages_as_payloads(b), max_items=80).select("source_id", "pos", "url", "title")
 
 
+@query("s07_parse_heading_links")
+def s07_headings(b: Bindings):
+    head = F.concat(F.lit('<h2 class="big entry-title"><a href="/e/'), F.col("page_id").cast("string"), F.lit('"><b>Entry</b> one</a></h2><h2 class="other"><a href="/no">no</a></h2><h2 class="entry-title">Entry <i>two</i> <a href="/f/'),
+                    F.col("page_id").cast("string"), F.lit('"><img src="x.png"></a></h2>'))
+    payloads = b.pages.select(F.col("page_id").alias("source_id"), F.lit("html").alias("kind"), F.lit(0).alias("page_no"), F.lit("https://list.org/x").alias("url"), F.concat(head, "html").alias("body"))
+    return S.parse_html_links(payloads, within=("h2", "entry-title")).select("source_id", "pos", "url", "title")
+
+
 @query("s08_parse_id_links")
 def s08(b: Bindings):
     return S.parse_id_links(pages_as_payloads(b), 'href="/([A-Za-z]+)"', "https://x.org/d/{id}").select("source_id", "pos", "url")

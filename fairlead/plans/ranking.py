@@ -83,11 +83,16 @@ def r08(b: Bindings):
         "user_id", "listing_id", r4("affinity").alias("affinity"))
 
 
+def weights_text(weights):
+    return T.joined(F.transform(F.map_entries(weights), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"], 2).cast("string"))))
+
+
 @query("r09_composite")
 def r09(b: Bindings):
     parts = {"semantic": (F.col("semantic"), F.col("has_semantic")), "eligibility": (F.col("eligibility"), F.lit(True)),
              "urgency": (F.col("urgency"), F.col("has_urgency")), "affinity": (F.col("fit_score"), ~F.col("hide_percent"))}
-    return b.feedback.select("user_id", "listing_id", r4(S.composite(parts)).alias("composite"))
+    return b.feedback.select("user_id", "listing_id", r4(S.composite(parts)).alias("composite"),
+                             weights_text(S.applied_weights({name: on for name, (_, on) in parts.items()})).alias("weights"))
 
 
 @query("r10_fit_reasons")
@@ -102,7 +107,7 @@ def r11(b: Bindings):
     s = R.fit_reasons(interaction_scores(b)).select("user_id", "listing_id", "composite", R.score_breakdown().alias("s"))
     return s.select("user_id", "listing_id", *[F.col("s." + c).alias(c) for c in (
         "semantic", "semantic_method", "eligibility", "urgency", "affinity", "hard_eligibility_failed")], r4("composite").alias("composite"),
-        T.joined(F.col("s.components_available")).alias("components"))
+        T.joined(F.col("s.components_available")).alias("components"), weights_text(F.col("s.weights_applied")).alias("weights"))
 
 
 @query("r12_rank_for_users")

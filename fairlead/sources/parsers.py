@@ -39,6 +39,40 @@ def _first(rows: DataFrame, n: int | None) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(W.partitionBy("source_id").orderBy("pos"))).filter(F.col("n") <= n)
 
 
+ATOM_LINK = "link:array<struct<_href:string,_rel:string,_VALUE:string>>"
+
+
+def parse_feed_items(payloads: DataFrame, max_entries: int | None = None) -> DataFrame:
+    """Entries of feeds of any kind: RSS, Atom (by its feed element) and RDF (items beside their channel)."""
+    body = F.col("body")
+    atom, rdf = body.rlike(r"(?s)<feed[\s>]"), body.rlike(r"(?s)<rdf:RDF[\s>]")
+    kinds = payloads.withColumn("_kind", F.when(atom, "atom").when(rdf, "rdf").otherwise("rss"))
+    rss = parse_rss_items(kinds.filter("_kind = 'rss'"), max_entries)
+    return rss.unionByName(_atom_items(kinds.filter("_kind = 'atom'"), max_entries)).unionByName(_rdf_items(kinds.filter("_kind = 'rdf'"), max_entries))
+
+
+def _entries(found: Column, most: int | None) -> Column:
+    return F.posexplode(found if most is None else F.slice(found, 1, most)).alias("i", "e")
+
+
+def _atom_items(payloads: DataFrame, most: int | None) -> DataFrame:
+    schema = f"entry array<struct<{ATOM_LINK},title:string,published:string,updated:string,summary:string,content:string>>"
+    flat = payloads.select("source_id", "page_no", _entries(F.from_xml("body", schema, {"rowTag": "feed"})["entry"], most))
+    own = F.coalesce(F.get(F.filter("e.link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0)), F.get("e.link", F.lit(0)))["_href"]
+    rows = flat.select("source_id", _pos(flat).alias("pos"), F.trim(_blank(own)).alias("url"), F.trim(_blank(F.col("e.title"))).alias("title"),
+                       F.coalesce("e.published", "e.updated", F.lit("")).alias("published"), F.coalesce("e.summary", "e.content", F.lit("")).alias("summary"))
+    return _items(rows.filter(F.col("url") != ""), "rss")
+
+
+def _rdf_items(payloads: DataFrame, most: int | None) -> DataFrame:
+    """The prefix of the publication date is its own namespace, so the element is named with it."""
+    schema = "item array<struct<link:string,title:string,description:string,`dc:date`:string>>"
+    flat = payloads.select("source_id", "page_no", _entries(F.from_xml("body", schema, {"rowTag": "rdf:RDF"})["item"], most))
+    rows = flat.select("source_id", _pos(flat).alias("pos"), F.trim(_blank(F.col("e.link"))).alias("url"), F.trim(_blank(F.col("e.title"))).alias("title"),
+                       _blank(F.col("e.`dc:date`")).alias("published"), _blank(F.col("e.description")).alias("summary"))
+    return _items(rows.filter(F.col("url") != ""), "rss")
+
+
 def parse_rss_items(payloads: DataFrame, max_entries: int | None = None) -> DataFrame:
     schema = "channel struct<item:array<struct<link:string,title:string,pubDate:string,updated:string,description:string,summary:string>>>"
     parsed = payloads.withColumn("x", F.from_xml("body", schema, {"rowTag": "rss"}))
@@ -132,14 +166,29 @@ def parse_search_api_items(payloads: DataFrame, url_template: str) -> DataFrame:
     return _items(rows, "search_api")
 
 
-def parse_html_links(payloads: DataFrame, link_pattern: str = "", max_items: int | None = None) -> DataFrame:
-    """Anchors as absolute addresses with their text; the pattern selects by the written reference."""
-    tags = F.regexp_extract_all("body", F.lit(r"(?is)(<a\b[^>]*>.*?</a\s*>)"), F.lit(1))
-    flat = payloads.select("source_id", "page_no", F.col("url").alias("base"), F.posexplode(tags).alias("i", "tag"))
+def elements(body: Column, tag: str, css_class: str = "") -> Column:
+    """Elements of a tag, and of a class if one is given, with what they hold. Elements of the same tag don't nest."""
+    wanted = rf"""[^>]*\bclass\s*=\s*["\'](?:[^"\']*\s)?{css_class}(?:\s[^"\']*)?["\']""" if css_class else ""
+    return F.regexp_extract_all(body, F.lit(rf"(?is)(<{tag}\b{wanted}[^>]*>.*?</{tag}\s*>)"), F.lit(1))
+
+
+def parse_html_links(payloads: DataFrame, link_pattern: str = "", max_items: int | None = None, within: tuple[str, str] | None = None) -> DataFrame:
+    """Anchors as absolute addresses with their text; the pattern selects by the written reference.
+
+    within: (tag, class) of the elements whose anchors count, usually headings. An anchor without text of its own, a
+    picture say, then takes the text of its element.
+    """
+    if within is None:
+        flat = payloads.select("source_id", "page_no", F.col("url").alias("base"), F.posexplode(elements(F.col("body"), "a")).alias("i", "tag")).withColumn("around", F.lit(""))
+    else:
+        outer = payloads.select("source_id", "page_no", F.col("url").alias("base"), F.posexplode(elements(F.col("body"), *within)).alias("k", "around"))
+        inner = outer.select("source_id", "page_no", "base", "k", "around", F.posexplode(elements(F.col("around"), "a")).alias("j", "tag"))
+        flat = inner.withColumn("i", F.col("k").cast("bigint") * 65536 + F.col("j"))
     flat = flat.withColumn("href", F.regexp_extract("tag", r"""(?is)\bhref\s*=\s*["']([^"']*)["']""", 1)).filter(F.col("href") != "")
     if link_pattern:
         flat = flat.filter(F.col("href").rlike(link_pattern))
-    rows = flat.select("source_id", _pos(flat).alias("pos"), U.absolute_url(F.col("href"), F.col("base")).alias("url"), T.strip_html("tag").alias("title")).filter(F.col("url").startswith("http"))
+    title = F.coalesce(F.nullif(T.strip_html("tag"), F.lit("")), T.strip_html("around"))
+    rows = flat.select("source_id", _pos(flat).alias("pos"), U.absolute_url(F.col("href"), F.col("base")).alias("url"), title.alias("title")).filter(F.col("url").startswith("http"))
     return _items(_first(rows, max_items), "html")
 
 
@@ -164,7 +213,7 @@ def parse_markdown_links(payloads: DataFrame, link_pattern: str, max_items: int
 
 # Parser by payload kind; register() adds further kinds.
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "rss": parse_rss_items, "sitemap": parse_sitemap_locs, "wp_json": parse_wp_json_items, "custom_api": parse_custom_api_items, "html": parse_html_links,
+    "rss": parse_feed_items, "sitemap": parse_sitemap_locs, "wp_json": parse_wp_json_items, "custom_api": parse_custom_api_items, "html": parse_html_links,
 }
 
 
