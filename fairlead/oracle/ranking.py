@@ -121,6 +121,11 @@ rq("r05_evaluate_eligibility", f"""SELECT user_id, listing_id, elig AS elig_scor
 oracle("r06_opportunity_degrees", with_views(VIEWS, SIDES + "\nSELECT listing_id, array_to_string(degs, '|') AS degrees FROM side"))
 oracle("r07_affinity_profile", with_views(VIEWS, SIDES + "\nSELECT user_id, kind, key, round(pos, 4) AS pos, round(neg, 4) AS neg FROM aff"))
 rq("r08_affinity_score", "SELECT user_id, listing_id, round(affinity + 1e-9, 4) AS affinity FROM sc")
+oracle("r05_large_vocabulary", """WITH d AS (SELECT doc_id, lower(text) AS t, string_split(lower(text), ' ') AS w FROM documents),
+p AS (SELECT unnest(list_transform(range(0, 6), lambda k: concat_ws(' ', w[k * 7 + 1], w[k * 7 + 2]))) AS p, unnest(range(0, 6)) AS k FROM d),
+v AS (SELECT DISTINCT CASE WHEN k % 2 = 0 THEN p ELSE substr(p, 2, 200) END AS term FROM p), u AS (SELECT term FROM v WHERE trim(term) <> ''),
+h AS (SELECT doc_id, count(*) AS n, md5(string_agg(term, '|' ORDER BY term)) AS m FROM d JOIN u ON contains(t, term) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_hits, coalesce(m, md5('')) AS hits_md5 FROM d LEFT JOIN h USING (doc_id)""")
 oracle("r09_composite", with_views("feedback", """SELECT user_id, listing_id, round((CASE WHEN has_semantic THEN 0.45::DOUBLE * semantic ELSE 0 END + 0.3::DOUBLE * eligibility
   + CASE WHEN has_urgency THEN 0.15::DOUBLE * urgency ELSE 0 END + CASE WHEN NOT hide_percent THEN 0.1::DOUBLE * fit_score ELSE 0 END)
   / (CASE WHEN has_semantic THEN 0.45::DOUBLE ELSE 0 END + 0.3::DOUBLE + CASE WHEN has_urgency THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN NOT hide_percent THEN 0.1::DOUBLE ELSE 0 END) + 1e-9, 4) AS composite,

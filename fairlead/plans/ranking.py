@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fairlead.bindings import AS_OF, Bindings
 from fairlead.functions import scoring as S
 from fairlead.functions import text as T
+from fairlead.functions.matching import add_phrase_hits
 from fairlead.operators import ranking as R
 from fairlead.operators.feed import response_view
 from fairlead.plans.registry import query
@@ -83,6 +84,18 @@ def r08(b: Bindings):
         "user_id", "listing_id", r4("affinity").alias("affinity"))
 
 
+@query("r05_large_vocabulary")
+def r05_large(b: Bindings):
+    """Hits of some thousand phrases, taken from the texts themselves: six per document, whole or cut inside a word."""
+    texts = b.documents.select("doc_id", F.lower("text").alias("t"))
+    words = F.split("t", " ")
+    pair = lambda k: F.concat_ws(" ", F.get(words, k * 7), F.get(words, k * 7 + 1))
+    cut = lambda k: F.when(k % 2 == 0, pair(k)).otherwise(F.substring(pair(k), 2, 200))
+    phrases = texts.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(5)), cut)).alias("term")).filter(F.trim("term") != "").distinct()
+    found = add_phrase_hits(texts, "doc_id", {"hits": "t"}, phrases)
+    return found.select("doc_id", F.size("hits").cast("bigint").alias("n_hits"), F.md5(F.array_join("hits", "|")).alias("hits_md5"))
+
+
 def weights_text(weights):
     return T.joined(F.transform(F.map_entries(weights), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"], 2).cast("string"))))
 
