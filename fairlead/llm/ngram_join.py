@@ -143,8 +143,8 @@ def prefixes(docs: DataFrame, steps: bytes, mean: float, percent: int) -> DataFr
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, bits: int = 23) -> DataFrame:
-    """(id, tokens) of the wanted documents. A bitmap of fixed size tells most of the others before their text is looked
-    at; what slips through is removed by the join."""
+    """(id, tokens) of the wanted documents, and maybe of a few others: a bitmap of fixed size tells whose text has to be
+    looked at, so that no text is shuffled."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
     words = wanted.select(place("id").alias("p")).groupBy(F.expr("CAST(p DIV 32 AS INT)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(p % 32 AS INT)))").alias("set")).collect()
     bitmap = np.zeros(1 << (bits - 5), np.uint32)
@@ -165,7 +165,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, bits: int = 23) -> DataFrame:
 
         return each
 
-    return map_text(docs.where("doc_id IS NOT NULL").withColumn("p", place("doc_id")), "id long, tokens array<bigint>", start).join(wanted, "id", "left_semi")
+    return map_text(docs.where("doc_id IS NOT NULL").withColumn("p", place("doc_id")), "id long, tokens array<bigint>", start)
 
 
 def may_link(a: str, b: str, percent: int):
@@ -176,8 +176,10 @@ def may_link(a: str, b: str, percent: int):
     return F.expr(f"{t} <= least({a}.n, {b}.n) AND {a}.pos < {a}.n - {t} + {matched} AND {b}.pos < {b}.n - {t} + {matched}"), F.expr(matched)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, compared whole."""
+    pairs = written(pairs)
+    sets = written(whole_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("left"))
     right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("right"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("left", "right")))
@@ -226,15 +228,14 @@ def similar_components(docs: DataFrame, percent: int = 80, turns: int = 2, id: s
     ids = known.where("sid IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "sid").distinct()
     rows = written(rows.join(shared, "token").join(ids, "doc_id").groupBy("token", "sid").agg(F.min("pos").alias("pos"), F.first("n").alias("n"), F.first("matched").alias("matched")))
 
-    sets = written(whole_sets(slim, rows.select(F.col("sid").alias("id")).distinct()))
     several = ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     links = ids.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("sid").alias("b"))
     found = with_component(rows, None)
     for turn in range(turns):
-        links = written(links.union(verified(pivot_pairs(found, percent, turn), sets, percent)))
+        links = written(links.union(verified(pivot_pairs(found, percent, turn), slim, percent)))
         tied = components(links)
         found = written(mixed(with_component(rows, tied)))
-    links = links.union(verified(across(found, percent), sets, percent))
+    links = links.union(verified(across(found, percent), slim, percent))
     tied = components(links)
     named = tied.select(F.col("node").alias("sid"), "component")
     return known.join(named, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "sid", "doc_id").alias("component_id"))

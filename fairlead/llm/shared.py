@@ -40,12 +40,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own_folders[app]}"
 
 
+#: A public setting of Spark: shuffle files go when the query that made them has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: what stands before it is neither planned nor run again, also not when an
-    executor is lost later."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    executor is lost later; and its shuffle files are not needed any more, so they are removed at once."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before) if before is not None else spark.conf.unset(CLEAN_UP)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def map_text(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict[str, list | np.ndarray | pa.Array]]]) -> DataFrame:
