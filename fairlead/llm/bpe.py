@@ -114,7 +114,7 @@ class Encoder:
     """Text to ids. Pieces of the split pattern are encoded one by one; short ones are remembered, at most `most_words`
     of them. A piece of any length runs through `stream`, whose buffer never exceeds `block` plus the lookahead."""
 
-    def __init__(self, vocabulary: Vocabulary, most_words: int = 500_000, block: int = 4096):
+    def __init__(self, vocabulary: Vocabulary, most_words: int = 200_000, block: int = 4096):
         self.v, self.most_words, self.block = vocabulary, most_words, block
         self.ahead = vocabulary.lookahead()
         self.known: dict[str, tuple[int, ...]] = {}
@@ -210,14 +210,15 @@ def decode(ids: list[int], parts: dict[int, bytes], block: int = 65_536) -> Iter
     yield state.feed(b"", last=True)
 
 
-_loaded: dict[str, tuple[Vocabulary, Encoder, dict[int, str]]] = {}
+_loaded: dict[str, tuple[Vocabulary, dict[int, str]]] = {}
 
 
-def loaded(path: str) -> tuple[Vocabulary, Encoder, dict[int, str]]:
-    """Vocabulary, encoder and the decimal text of each id; read once in each worker, whatever path it has there."""
+def loaded(path: str) -> tuple[Vocabulary, dict[int, str]]:
+    """Vocabulary and the decimal text of each id; read once in each worker. The words an encoder remembers are not kept
+    here: they go with the task, as other work follows in the same worker."""
     if path not in _loaded:
         v = Vocabulary.load(path)
-        _loaded[path] = v, Encoder(v), {i: str(i) for i in v.parts}
+        _loaded[path] = v, {i: str(i) for i in v.parts}
     return _loaded[path]
 
 
@@ -231,7 +232,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep:
     slim = docs.select(*keep, docs[text].alias("_text"))
 
     def start():
-        v, encoder, decimal = loaded(vocabulary)
+        v, decimal = loaded(vocabulary)
+        encoder = Encoder(v)
 
         def each(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "ids")}

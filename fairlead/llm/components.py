@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlead.llm.shared import written
+from fairlead.llm.shared import dealt_afresh, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,8 +21,10 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
         ends = found.select(F.col("low").alias("node"), F.col("low").alias("other")).union(found.select(F.col("high"), F.col("low")))
         smallest = ends.groupBy("node").agg(F.min("other").alias("least"))
+        smallest = dealt_afresh(smallest, "node")
         large = found.join(smallest, found.low == smallest.node).select("high", F.col("least").alias("low")).distinct()
         below = large.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("least"))
+        below = dealt_afresh(below, "node")
         both = large.join(below, large.high == below.node).select("high", "low", "least")
         small = both.select(F.explode(F.array(F.struct("high", F.col("least").alias("low")), F.struct(F.col("low").alias("high"), F.col("least").alias("low")))).alias("e")).select("e.*").where("high <> low").distinct()
         found = written(small)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairlead.llm.components import components
-from fairlead.llm.shared import map_text, sliced, written
+from fairlead.llm.shared import dealt_afresh, map_text, sliced, written
 from fairlead.llm.shingles import mix, sets_of
 
 #: Counters of the sketch, and how many of them one row of it holds.
@@ -193,7 +193,7 @@ def pivot_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
     first = F.struct("pos", "sid", "n", "matched") if turn == 0 else F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "pos", "n", "matched")
     pivots = rows.groupBy("token").agg(F.min(first).alias("p")).select("token", "p.*")
     counts, _ = may_link("a", "p", percent)
-    met = rows.alias("a").join(pivots.alias("p"), "token").where(F.col("a.sid") != F.col("p.sid")).where(counts).groupBy(F.col("a.sid").alias("a"), F.col("p.sid").alias("b")).agg(F.count("*").alias("n"))
+    met = rows.alias("a").join(dealt_afresh(pivots, "token").alias("p"), "token").where(F.col("a.sid") != F.col("p.sid")).where(counts).groupBy(F.col("a.sid").alias("a"), F.col("p.sid").alias("b")).agg(F.count("*").alias("n"))
     return met.groupBy("a").agg(F.max(F.struct("n", F.expr("-b").alias("less"))).alias("best")).select("a", F.expr("-best.less").alias("b"))
 
 
@@ -201,7 +201,7 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
     """All candidate pairs of different components. Of a group, its members outside the pivot's component meet all its
     members, so that a group which is one component gives nothing, and one with few strangers few pairs."""
     main = rows.groupBy("token").agg(F.min(F.struct("pos", "sid", "component")).alias("p"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", F.col("p.component").alias("main"))
-    split = rows.join(main, "token")
+    split = rows.join(dealt_afresh(main, "token"), "token")
     counts, matched = may_link("a", "b", percent)
     met = split.where("component <> main").alias("a").join(split.alias("b"), "token").where("a.component <> b.component AND (b.component = b.main OR a.sid < b.sid)").where(counts)
     pairs = met.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b"), matched.alias("matched"))
@@ -220,16 +220,16 @@ def similar_components(docs: DataFrame, percent: int = 80, turns: int = 2, id: s
     steps, mean = order_of(told.where("chunk IS NOT NULL"))
     facts = told.where("chunk IS NULL").select("doc_id", "n", "ident", "ident2")
     groups = facts.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "ident", "ident2").agg(F.min("doc_id").alias("sid"))
-    known = written(facts.join(groups, ["n", "ident", "ident2"], "left").select("doc_id", "n", "sid"))
+    known = written(facts.join(dealt_afresh(groups, "ident"), ["n", "ident", "ident2"], "left").select("doc_id", "n", "sid"))
 
     prefix = written(prefixes(slim, steps, mean, percent))
     rows = prefix.select("doc_id", "n", "matched", F.posexplode("tokens").alias("pos", "token"))
     shared = rows.groupBy("token").agg(F.count("*").alias("held")).where("held > 1").select("token")
     ids = known.where("sid IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "sid").distinct()
-    rows = written(rows.join(shared, "token").join(ids, "doc_id").groupBy("token", "sid").agg(F.min("pos").alias("pos"), F.first("n").alias("n"), F.first("matched").alias("matched")))
+    rows = written(rows.join(dealt_afresh(shared, "token"), "token").join(ids, "doc_id").groupBy("token", "sid").agg(F.min("pos").alias("pos"), F.first("n").alias("n"), F.first("matched").alias("matched")))
 
     several = ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    links = ids.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("sid").alias("b"))
+    links = ids.join(dealt_afresh(several, "doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("sid").alias("b"))
     found = with_component(rows, None)
     for turn in range(turns):
         links = written(links.union(verified(pivot_pairs(found, percent, turn), slim, percent)))
@@ -250,4 +250,4 @@ def with_component(rows: DataFrame, tied: DataFrame | None) -> DataFrame:
 def mixed(rows: DataFrame) -> DataFrame:
     """The rows of shingles whose group is not one component yet."""
     several = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    return rows.join(several, "token")
+    return rows.join(dealt_afresh(several, "token"), "token")

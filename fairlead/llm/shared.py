@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Fixed value: a word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -82,3 +83,10 @@ def sliced(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.Reco
     rows = max(1, int(batch.num_rows * most_bytes / max(1, batch.nbytes)))
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+
+
+def dealt_afresh(totals: DataFrame, key: str) -> DataFrame:
+    """totals with its whole-number key written as an expression of its own. A join on the key an aggregate was dealt by
+    would take over the aggregate's partitions as they are, and a hot key of the other side would stay in one task; so
+    both sides are dealt for the join, and Spark can split what is large."""
+    return totals.withColumn(key, F.bitwise_not(F.bitwise_not(key)))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairlead.llm.components import components
-from fairlead.llm.shared import map_text, written
+from fairlead.llm.shared import dealt_afresh, map_text, written
 
 #: Vectors on one side of a tile; coordinates after which a tile is thinned out; room for rounding in the bounds.
 TILE = 512
@@ -151,7 +151,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id: str = "vec_
     for part in parts:
         sizes = part.groupBy("label", "x0", "x1").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("n"))
         blocks = sizes.select("label", "x0", "x1", F.explode(F.expr("sequence(0, n - 1)")).alias("block"))
-        dealt = part.join(sizes, ["label", "x0", "x1"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+        dealt = part.join(dealt_afresh(sizes, "x0"), ["label", "x0", "x1"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
         in_tiles = dealt.join(tiles(sizes.select("label", "x0", "x1"), blocks), ["label", "x0", "x1", "block"]).select("tile", "side", "label", "node", "copies", "key", "z")
         kind = dict(part.dtypes)["label"]
         found = written(in_tiles.groupBy("tile").applyInPandas(lambda t: compare(t, threshold), f"label {kind}, node long, key long, found long, root long"))
