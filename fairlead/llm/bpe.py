@@ -114,7 +114,7 @@ class Encoder:
     """Text to ids. Pieces of the split pattern are encoded one by one; short ones are remembered, at most `most_words`
     of them. A piece of any length runs through `stream`, whose buffer never exceeds `block` plus the lookahead."""
 
-    def __init__(self, vocabulary: Vocabulary, most_words: int = 200_000, block: int = 4096):
+    def __init__(self, vocabulary: Vocabulary, most_words: int = 120_000, block: int = 4096):
         self.v, self.most_words, self.block = vocabulary, most_words, block
         self.ahead = vocabulary.lookahead()
         self.known: dict[str, tuple[int, ...]] = {}

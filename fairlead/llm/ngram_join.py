@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairlead.llm.components import components
-from fairlead.llm.shared import dealt_afresh, map_text, sliced, written
+from fairlead.llm.shared import dealt_afresh, emptied, map_text, sliced, written
 from fairlead.llm.shingles import mix, sets_of
 
 #: Counters of the sketch, and how many of them one row of it holds.
@@ -177,13 +177,15 @@ def may_link(a: str, b: str, percent: int):
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, compared whole."""
+    """A table of the pairs (a, b) whose sets are similar enough, compared whole."""
     pairs = written(pairs)
     sets = written(whole_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("left"))
     right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("right"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("left", "right")))
-    return both.where(F.expr(f"{100 + percent} * common >= {percent} * (size(left) + size(right))")).select("a", "b").distinct()
+    found = written(both.where(F.expr(f"{100 + percent} * common >= {percent} * (size(left) + size(right))")).select("a", "b").distinct())
+    emptied(pairs, sets)
+    return found
 
 
 def pivot_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -221,20 +223,23 @@ def similar_components(docs: DataFrame, percent: int = 80, turns: int = 2, id: s
     facts = told.where("chunk IS NULL").select("doc_id", "n", "ident", "ident2")
     groups = facts.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "ident", "ident2").agg(F.min("doc_id").alias("sid"))
     known = written(facts.join(dealt_afresh(groups, "ident"), ["n", "ident", "ident2"], "left").select("doc_id", "n", "sid"))
+    emptied(told)
 
     prefix = written(prefixes(slim, steps, mean, percent))
     rows = prefix.select("doc_id", "n", "matched", F.posexplode("tokens").alias("pos", "token"))
     shared = rows.groupBy("token").agg(F.count("*").alias("held")).where("held > 1").select("token")
     ids = known.where("sid IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "sid").distinct()
     rows = written(rows.join(dealt_afresh(shared, "token"), "token").join(ids, "doc_id").groupBy("token", "sid").agg(F.min("pos").alias("pos"), F.first("n").alias("n"), F.first("matched").alias("matched")))
+    emptied(prefix)
 
     several = ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     links = ids.join(dealt_afresh(several, "doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("sid").alias("b"))
     found = with_component(rows, None)
     for turn in range(turns):
-        links = written(links.union(verified(pivot_pairs(found, percent, turn), slim, percent)))
+        links = links.union(verified(pivot_pairs(found, percent, turn), slim, percent))
         tied = components(links)
-        found = written(mixed(with_component(rows, tied)))
+        before, found = found, written(mixed(with_component(rows, tied)))
+        emptied(*[before] * (turn > 0))
     links = links.union(verified(across(found, percent), slim, percent))
     tied = components(links)
     named = tied.select(F.col("node").alias("sid"), "component")

@@ -56,7 +56,15 @@ def written(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before) if before is not None else spark.conf.unset(CLEAN_UP)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def emptied(*tables: DataFrame) -> None:
+    """Frees the space of tables from `written` on which no result depends any more."""
+    for table in tables:
+        table.sparkSession.range(0).write.mode("overwrite").parquet(table.written_to)
 
 
 def map_text(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict[str, list | np.ndarray | pa.Array]]]) -> DataFrame:
@@ -74,11 +82,12 @@ def map_text(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.Record
             for part in sliced(batch):
                 made = each(part)
                 yield pa.RecordBatch.from_arrays([a if isinstance(a := made[f.name], pa.Array) else pa.array(a, type=f.type, from_pandas=False) for f in arrow], schema=arrow)
+        pa.default_memory_pool().release_unused()  # the worker lives on, for other work
 
     return df.mapInArrow(run, schema)
 
 
-def sliced(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about most_bytes, so that memory follows the longest text and not the batch."""
     rows = max(1, int(batch.num_rows * most_bytes / max(1, batch.nbytes)))
     for at in range(0, batch.num_rows, rows):
