@@ -183,7 +183,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("left"))
     right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("right"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("left", "right")))
-    found = written(both.where(F.expr(f"{100 + percent} * common >= {percent} * (size(left) + size(right))")).select("a", "b").distinct())
+    found = written(both.where(F.expr(f"{100 + percent} * common >= {percent} * (size(left) + size(right))")).select("a", "b"))
     emptied(pairs, sets)
     return found
 
@@ -196,7 +196,7 @@ def pivot_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
     pivots = rows.groupBy("token").agg(F.min(first).alias("p")).select("token", "p.*")
     counts, _ = may_link("a", "p", percent)
     met = rows.alias("a").join(dealt_afresh(pivots, "token").alias("p"), "token").where(F.col("a.sid") != F.col("p.sid")).where(counts).groupBy(F.col("a.sid").alias("a"), F.col("p.sid").alias("b")).agg(F.count("*").alias("n"))
-    return met.groupBy("a").agg(F.max(F.struct("n", F.expr("-b").alias("less"))).alias("best")).select("a", F.expr("-best.less").alias("b"))
+    return met.groupBy("a").agg(F.max(F.struct("n", F.bitwise_not("b").alias("less"))).alias("best")).select("a", F.bitwise_not("best.less").alias("b"))
 
 
 def across(rows: DataFrame, percent: int) -> DataFrame:
@@ -207,7 +207,7 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
     counts, matched = may_link("a", "b", percent)
     met = split.where("component <> main").alias("a").join(split.alias("b"), "token").where("a.component <> b.component AND (b.component = b.main OR a.sid < b.sid)").where(counts)
     pairs = met.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b"), matched.alias("matched"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("matched").alias("matched")).where("n >= matched").select("a", "b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("matched").alias("matched")).where("n >= matched").select("a", "b")
 
 
 def similar_components(docs: DataFrame, percent: int = 80, turns: int = 2, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,7 +229,7 @@ def similar_components(docs: DataFrame, percent: int = 80, turns: int = 2, id: s
     rows = prefix.select("doc_id", "n", "matched", F.posexplode("tokens").alias("pos", "token"))
     shared = rows.groupBy("token").agg(F.count("*").alias("held")).where("held > 1").select("token")
     ids = known.where("sid IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "sid").distinct()
-    rows = written(rows.join(dealt_afresh(shared, "token"), "token").join(ids, "doc_id").groupBy("token", "sid").agg(F.min("pos").alias("pos"), F.first("n").alias("n"), F.first("matched").alias("matched")))
+    rows = written(rows.join(dealt_afresh(shared, "token"), "token").join(ids, "doc_id").groupBy("token", "sid", "n", "matched").agg(F.min("pos").alias("pos")))
     emptied(prefix)
 
     several = ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
