@@ -34,7 +34,7 @@ def _fold_tables() -> tuple[str, str, list[dict[str, str]]]:
 
 
 _FOLD_FROM, _FOLD_TO, _SEVERAL = _fold_tables()
-_HAS_SEVERAL = "[" + "".join(x["k"] for x in _SEVERAL) + "]"
+_OF_SEVERAL = "".join(x["k"] for x in _SEVERAL)
 
 
 def col(x: Column | str) -> Column:
@@ -63,7 +63,9 @@ def normalize_text(text: Column | str) -> Column:
     one, in the rare texts that hold any."""
     raw = F.coalesce(col(text), F.lit(""))
     table = literal(_SEVERAL, "array<struct<k:string,v:string>>")
-    apart = F.when(raw.rlike(_HAS_SEVERAL), F.aggregate(table, raw, lambda t, x: F.replace(t, x["k"], x["v"]))).otherwise(raw)
+    # Looked up in a table character by character; a pattern class of this size is tried member by member.
+    some = F.length(F.translate(raw, _OF_SEVERAL, "")) < F.length(raw)
+    apart = F.when(some, F.aggregate(table, raw, lambda t, x: F.replace(t, x["k"], x["v"]))).otherwise(raw)
     folded = F.regexp_replace(F.translate(apart, _FOLD_FROM, _FOLD_TO), r"\p{M}", "")
     spaced = F.regexp_replace(F.lower(folded), r"[^\p{L}\p{N}_\s$€£%.,/+\-]", " ")
     return F.trim(F.regexp_replace(spaced, r"\s+", " "))
