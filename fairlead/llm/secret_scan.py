@@ -1,9 +1,9 @@
 """Secret scans: every text is searched, then each layer that can be decoded out of it, until nothing new appears.
 
 A layer is a text decoded from another one: its escapes (%41, \\u0041, &#65; ...) replaced in place, or what a base64 run,
-possibly compressed, holds. Layers wait in a worklist; contents met before in the same document are not taken again, so
-that layers which decode to each other, or to themselves, end. Each layer maps its offsets to those of the layer it came
-from, and through these to the document.
+possibly compressed, holds. Each content is searched once in a document, but counts at every place it is met at: its finds
+go to all contents that hold it, through the offsets of each place, up to the document. Only new finds are passed on, so
+that layers which decode to each other, or to themselves, end.
 """
 
 from __future__ import annotations
@@ -16,9 +16,7 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
-from collections import deque
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +37,8 @@ ESCAPE = re.compile(
 )
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
+Children = Iterator[tuple["Node", str, "Node", Callable[[int, int], tuple[int, int]]]]
+
 Span = tuple[int, str, int]
 
 
@@ -52,50 +52,58 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-@dataclass
-class Layer:
-    """text, where it came from, and how offsets map: piece i starts at at[i] in this text and stands for
-    source[i] .. source[i] + width[i] of the parent; step[i] is 1 where characters pair up and 0 where the piece stands for
-    its source as a whole."""
+class Node:
+    """One content: the spans found in it so far, in its own offsets, and each place it was met at, as the content that
+    holds it and a function that maps offsets to there."""
+
+    def __init__(self):
+        self.spans, self.places = set(), []
+
+
+def add(node: Node, spans: set[Span]) -> None:
+    """Adds spans to a content and to all that hold it, through the offsets of every place; cycles end, as nothing is
+    added twice."""
+    work = [(node, spans)]
+    while work:
+        node, spans = work.pop()
+        if fresh := spans - node.spans:
+            node.spans |= fresh
+            work += [(holder, {((at := place(a, b))[0], kind, at[1]) for a, kind, b in fresh}) for holder, place in node.places]
 
-    text: str
-    parent: Layer | None = None
-    at: list[int] = None
-    source: list[int] = None
-    width: list[int] = None
-    step: list[int] = None
 
-    def to_document(self, start: int, end: int) -> tuple[int, int]:
-        layer = self
-        while layer.parent is not None:
-            i, j = bisect_right(layer.at, start) - 1, bisect_right(layer.at, end - 1) - 1
-            first = layer.source[i] + layer.step[i] * (start - layer.at[i])
-            last = layer.source[j] + (end - layer.at[j] if layer.step[j] else layer.width[j])
-            start, end, layer = first, last, layer.parent
-        return start, end
+def meet(child: Node, holder: Node, place: Callable[[int, int], tuple[int, int]]) -> None:
+    child.places.append((holder, place))
+    add(holder, {((at := place(a, b))[0], kind, at[1]) for a, kind, b in child.spans})
 
 
-def unescaped(layer: Layer) -> Layer | None:
-    """The layer with its escapes replaced by what they stand for, or None if it has none that decode."""
+def unescaped(text: str) -> tuple[str, Callable[[int, int], tuple[int, int]]] | None:
+    """The text with its escapes replaced by what they stand for, or None if it has none that decode. Piece i starts at
+    at[i] there and stands for source[i] .. source[i] + width[i] here; step[i] is 1 where characters pair up and 0 where
+    the piece stands for its source as a whole."""
     pieces, at, source, width, step = [], [], [], [], []
     done, size = 0, 0
 
-    def put(text: str, start: int, end: int, paired: int) -> None:
+    def put(part: str, start: int, end: int, paired: int) -> None:
         nonlocal size
-        if text:
+        if part:
             at.append(size), source.append(start), width.append(end - start), step.append(paired)
-            pieces.append(text)
-            size += len(text)
+            pieces.append(part)
+            size += len(part)
 
-    for m in ESCAPE.finditer(layer.text):
-        for text, start, end in decoded_escape(m):
-            put(layer.text[done:start], done, start, 1)
-            put(text, start, end, 0)
+    for m in ESCAPE.finditer(text):
+        for part, start, end in decoded_escape(m):
+            put(text[done:start], done, start, 1)
+            put(part, start, end, 0)
             done = end
     if not done:
         return None
-    put(layer.text[done:], done, len(layer.text), 1)
-    return Layer("".join(pieces), layer, at, source, width, step)
+    put(text[done:], done, len(text), 1)
+
+    def place(start: int, end: int) -> tuple[int, int]:
+        i, j = bisect_right(at, start) - 1, bisect_right(at, end - 1) - 1
+        return source[i] + step[i] * (start - at[i]), source[j] + (end - at[j] if step[j] else width[j])
+
+    return "".join(pieces), place
 
 
 def decoded_escape(m: re.Match) -> Iterator[tuple[str, int, int]]:
@@ -135,9 +143,9 @@ def checked(char: str) -> str:
     return char
 
 
-def unpacked(layer: Layer, most_bytes: int) -> Iterator[Layer]:
-    """A layer for each base64 run of this one that holds text, compressed or not."""
-    for m in RUN.finditer(layer.text):
+def unpacked(text: str, most_bytes: int) -> Iterator[tuple[str, Callable[[int, int], tuple[int, int]]]]:
+    """What each base64 run of the text holds, compressed or not, where that is text."""
+    for m in RUN.finditer(text):
         raw = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         if len(raw) % 4 == 1:
             continue
@@ -145,9 +153,8 @@ def unpacked(layer: Layer, most_bytes: int) -> Iterator[Layer]:
             data = base64.b64decode(raw + "=" * (-len(raw) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        text = as_text(data, most_bytes)
-        if text:
-            yield Layer(text, layer, [0], [m.start()], [m.end() - m.start()], [0])
+        if inner := as_text(data, most_bytes):
+            yield inner, lambda a, b, run=m.span(): run
 
 
 def as_text(data: bytes, most_bytes: int) -> str | None:
@@ -184,25 +191,31 @@ def decompressor(data: bytes):
 
 def all_spans(text: str, most_bytes: int = 64 << 20) -> tuple[list[Span], list[Span]]:
     """Base spans of the text, and those together with what its layers add, both sorted by start, then kind as listed."""
-    base = base_spans(text)
-    found, work, seen = set(base), deque(layers_of(Layer(text), most_bytes)), {text}
+    base, root = base_spans(text), Node()
+    add(root, set(base))
+    known, work = {content_key(text): root}, [layers_of(text, most_bytes, root)]
     while work:
-        layer = work.popleft()
-        if layer.text in seen:
+        if (met := next(work[-1], None)) is None:
+            work.pop()
             continue
-        seen.add(layer.text)
-        for start, kind, end in base_spans(layer.text):
-            start, end = layer.to_document(start, end)
-            found.add((start, kind, end))
-        work.extend(layers_of(layer, most_bytes))
+        child, inner, holder, place = met
+        if (node := known.setdefault(content_key(inner), child)) is child:
+            add(child, set(base_spans(inner)))
+            work.append(layers_of(inner, most_bytes, child))
+        meet(node, holder, place)
     order = lambda s: (s[0], KINDS.index(s[1]), s[2])
-    return sorted(base, key=order), sorted(found, key=order)
+    return sorted(base, key=order), sorted(root.spans, key=order)
+
+
+def content_key(text: str) -> str | bytes:
+    return text if len(text) < 64 else hashlib.sha256(text.encode()).digest()
 
 
-def layers_of(layer: Layer, most_bytes: int) -> Iterator[Layer]:
-    if (whole := unescaped(layer)) is not None:
-        yield whole
-    yield from unpacked(layer, most_bytes)
+def layers_of(text: str, most_bytes: int, node: Node) -> Children:
+    if (whole := unescaped(text)) is not None:
+        yield Node(), whole[0], node, whole[1]
+    for inner, place in unpacked(text, most_bytes):
+        yield Node(), inner, node, place
 
 
 def listed(spans: list[Span]) -> str:

@@ -72,3 +72,21 @@ def test_query_and_odd_rows(spark, sf, odd, empty):
     check(docs, queries.QUERIES["op6_secret_scan"](spark, sf).collect())
     check(odd.select("doc_id", "text").collect(), secret_scan.scan(odd).collect())
     assert secret_scan.scan(empty).collect() == []
+
+
+def clean_after(text):
+    """The redacted text; nothing may be found in it any more."""
+    left = secret_scan.redact(text, secret_scan.all_spans(text)[1])
+    assert secret_scan.all_spans(left)[1] == [], left
+    return left
+
+
+def test_every_place_of_a_content_counts():
+    one = base64.b64encode(b"password = hunter2hunter2").decode()
+    assert found(f"{one} x {one}") == [("assign", one)] * 2
+    assert clean_after(f"{one} x {one}") == "[SECRET] x [SECRET]"
+    packed = base64.b64encode(gzip.compress(b"password = hunter2hunter2", mtime=0)).decode()
+    assert clean_after(f"({one}) and ({packed}) and ({packed})") == "([SECRET]) and ([SECRET]) and ([SECRET])"
+    quoted = urllib.parse.quote("password=hunter2/hunter2", safe="")
+    nested = base64.b64encode(f"a {one} b".encode()).decode()
+    assert clean_after(f"{nested}, {one}, {quoted}, {nested}, {quoted}") == ", ".join(["[SECRET]"] * 5)
