@@ -9,7 +9,6 @@ that layers which decode to each other, or to themselves, end.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -17,6 +16,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +36,14 @@ ESCAPE = re.compile(
     r"|(?P<entity>&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});)"
 )
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: How compressed data begins.
+MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
+#: Bytes without such a stretch hold no match, and no escapes or run that lead to one.
+PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{16,}|" + MAGIC.pattern)
+#: Up to the last byte that is in no match, escape or run.
+APART = re.compile(rb".*[^A-Za-z0-9+/_.=:\"'%\\{}&#;\x20\t\r\n-]", re.DOTALL)
+#: Bytes that are unpacked at a time, and from which on a stream is searched in windows.
+BLOCK, WINDOW = 1 << 16, 4 << 20
 
 Children = Iterator[tuple["Node", str, "Node", Callable[[int, int], tuple[int, int]]]]
 
@@ -54,10 +62,11 @@ def base_spans(text: str) -> list[Span]:
 
 class Node:
     """One content: the spans found in it so far, in its own offsets, and each place it was met at, as the content that
-    holds it and a function that maps offsets to there."""
+    holds it and a function that maps offsets to there. A binary one has a character for each byte, which is as good as the
+    text: all that is searched for is ASCII."""
 
-    def __init__(self):
-        self.spans, self.places = set(), []
+    def __init__(self, binary: bool = False):
+        self.binary, self.spans, self.places = binary, set(), []
 
 
 def add(node: Node, spans: set[Span]) -> None:
@@ -143,38 +152,111 @@ def checked(char: str) -> str:
     return char
 
 
-def unpacked(text: str, most_bytes: int) -> Iterator[tuple[str, Callable[[int, int], tuple[int, int]]]]:
-    """What each base64 run of the text holds, compressed or not, where that is text."""
+def unpacked(text: str, node: Node) -> Children:
+    """What each base64 run of the text holds, where that is text or compressed."""
     for m in RUN.finditer(text):
         raw = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         if len(raw) % 4 == 1:
             continue
-        try:
-            data = base64.b64decode(raw + "=" * (-len(raw) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        if inner := as_text(data, most_bytes):
-            yield inner, lambda a, b, run=m.span(): run
+        data, whole = base64.b64decode(raw + "=" * (-len(raw) % 4)), lambda a, b, run=m.span(): run
+        if MAGIC.match(data) or is_text(data):
+            yield Node(True), data.decode("latin-1"), node, whole
 
 
-def as_text(data: bytes, most_bytes: int) -> str | None:
-    """UTF-8 text in data, after removing compression as often as it was applied; None where it is no text."""
-    seen = set()
-    while (packed := decompressor(data)) is not None:
-        mark = hashlib.sha256(data).digest()
-        if mark in seen:
-            return None
-        seen.add(mark)
-        try:
-            data = packed.decompress(data, most_bytes)
-        except (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError):
-            break  # it only began like compressed data
+def is_text(data: bytes) -> bool:
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    odd = sum(1 for c in text if c < " " and c not in "\t\n\r")
-    return text if odd * 10 <= len(text) else None
+        return False
+    return sum(1 for c in text if c < " " and c not in "\t\n\r") * 10 <= len(text)
+
+
+def expanded(text: str, node: Node) -> Children:
+    """What compressed streams in these bytes hold. All members of a stream are one text, as for the tools that unpack it.
+    It is searched in windows, whose finds count for the stream as a whole, once its end is known."""
+    data, at = text.encode("latin-1"), 0
+    while m := MAGIC.search(data, at):
+        stream, source = Node(), Members(data[i:i + BLOCK] for i in range(m.start(), len(data), BLOCK))
+        for window in windows(chained(source)):
+            if PRINTABLE.search(window):
+                yield Node(True), window.decode("latin-1"), stream, lambda a, b: (0, 1)
+        end = m.start() + source.taken if source.whole else len(data)
+        meet(stream, node, lambda a, b, span=(m.start(), end): span)
+        at = end if source.whole else m.start() + 1
+
+
+class Members:
+    """The blocks that the members of a compressed stream hold, one member after the other, with zeros between them left
+    out. `whole` says that a member came to its end, `taken` how many bytes the last such member and those before it have;
+    what is no member ends the stream. What a broken or cut off member gives before it breaks counts too."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.left, self.pulled, self.taken, self.whole = pieces, b"", 0, 0, False
+
+    def more(self, least: int = 1) -> bool:
+        while len(self.left) < least and (piece := next(self.pieces, None)) is not None:
+            self.left += piece
+            self.pulled += len(piece)
+        return len(self.left) >= least
+
+    def __iter__(self) -> Iterator[bytes]:
+        while self.more(10) or self.left:
+            if self.whole and self.left[0] == 0:
+                self.left = self.left.lstrip(b"\0")
+                continue
+            if (packed := decompressor(self.left)) is None:
+                return
+            try:
+                yield from self.member(packed)
+            except (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError):
+                return
+            if not packed.eof:
+                return
+            self.whole, self.left = True, packed.unused_data + self.left
+            self.taken = self.pulled - len(self.left)
+
+    def member(self, packed) -> Iterator[bytes]:
+        fed, full = b"", False
+        while not packed.eof:
+            if not fed and not full:
+                if not self.more():
+                    return
+                fed, self.left = self.left[:BLOCK], self.left[BLOCK:]
+            out = packed.decompress(fed, BLOCK)
+            fed = getattr(packed, "unconsumed_tail", b"")
+            full = len(out) == BLOCK or not getattr(packed, "needs_input", True)
+            if out:
+                yield out
+
+
+def chained(blocks: Iterator[bytes]) -> Iterator[bytes]:
+    """The blocks, with compression removed from a long stream as often as it was applied. Short ones come back as they
+    are, for the search of all places in them; so do those that unpack to their own beginning."""
+    seen = set()
+    while True:
+        blocks, first = iter(blocks), b""
+        while len(first) <= WINDOW and (block := next(blocks, None)) is not None:
+            first += block
+        blocks = chain([first] if first else [], blocks)
+        mark = hashlib.sha256(first).digest()
+        if len(first) <= WINDOW or not MAGIC.match(first) or mark in seen:
+            return blocks
+        seen.add(mark)
+        blocks = Members(blocks)
+
+
+def windows(blocks: Iterator[bytes]) -> Iterator[bytes]:
+    """The stream in windows that end where nothing searched for can lie across, which is after a byte that no pattern,
+    escape or base64 run takes. Where none comes the window grows until one does: nothing is cut in two."""
+    parts, size = [], 0
+    for block in blocks:
+        parts.append(block)
+        size += len(block)
+        if size >= WINDOW and (m := APART.match(block)):
+            yield b"".join([*parts[:-1], block[:m.end()]])
+            parts, size = [block[m.end():]], len(block) - m.end()
+    if size:
+        yield b"".join(parts)
 
 
 def decompressor(data: bytes):
@@ -189,11 +271,11 @@ def decompressor(data: bytes):
     return None
 
 
-def all_spans(text: str, most_bytes: int = 64 << 20) -> tuple[list[Span], list[Span]]:
+def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans of the text, and those together with what its layers add, both sorted by start, then kind as listed."""
     base, root = base_spans(text), Node()
     add(root, set(base))
-    known, work = {content_key(text): root}, [layers_of(text, most_bytes, root)]
+    known, work = {content_key(text): root}, [layers_of(text, root)]
     while work:
         if (met := next(work[-1], None)) is None:
             work.pop()
@@ -201,7 +283,7 @@ def all_spans(text: str, most_bytes: int = 64 << 20) -> tuple[list[Span], list[S
         child, inner, holder, place = met
         if (node := known.setdefault(content_key(inner), child)) is child:
             add(child, set(base_spans(inner)))
-            work.append(layers_of(inner, most_bytes, child))
+            work.append(layers_of(inner, child))
         meet(node, holder, place)
     order = lambda s: (s[0], KINDS.index(s[1]), s[2])
     return sorted(base, key=order), sorted(root.spans, key=order)
@@ -211,11 +293,12 @@ def content_key(text: str) -> str | bytes:
     return text if len(text) < 64 else hashlib.sha256(text.encode()).digest()
 
 
-def layers_of(text: str, most_bytes: int, node: Node) -> Children:
+def layers_of(text: str, node: Node) -> Children:
     if (whole := unescaped(text)) is not None:
         yield Node(), whole[0], node, whole[1]
-    for inner, place in unpacked(text, most_bytes):
-        yield Node(), inner, node, place
+    yield from unpacked(text, node)
+    if node.binary:
+        yield from expanded(text, node)
 
 
 def listed(spans: list[Span]) -> str:
@@ -232,20 +315,20 @@ def redact(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
     return "".join(out) + text[done:]
 
 
-def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), most_bytes: int = 64 << 20, redacted: bool = False) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), redacted: bool = False) -> DataFrame:
     """One row per row of docs: the kept columns, n_assign, n_access and n_hex (base matches), base_sha256, spans (base and
     decoded ones as kind:start:end, code points), n_decoded, and with `redacted` also the text without its secrets.
 
     A null text counts as empty; whole texts of any length are searched; repeated rows stay; an empty table gives no
-    rows; columns that are not kept are never read. most_bytes bounds what one compressed run may expand to (its first
-    most_bytes bytes are searched), as a guard against bombs."""
+    rows; columns that are not kept are never read. What a run unpacks to is searched to its end, in windows, whatever its
+    size: a bomb costs its time."""
     slim = docs.select(*keep, docs[text].alias("_text"))
 
     def start():
         def each(batch: pa.RecordBatch) -> dict:
             rows, texts = [], [t or "" for t in batch.column("_text").to_pylist()]
             for t in texts:
-                base, found = all_spans(t, most_bytes)
+                base, found = all_spans(t)
                 counts = [sum(kind == k for _, kind, _ in base) for k in KINDS]
                 rows.append((*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(found), len(found) - len(set(base)), redact(t, found) if redacted else None))
             made = list(zip(*rows, strict=True)) if rows else [[]] * 7

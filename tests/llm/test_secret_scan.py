@@ -1,6 +1,7 @@
 import base64
 import bz2
 import gzip
+import lzma
 import random
 import urllib.parse
 import zlib
@@ -90,3 +91,22 @@ def test_every_place_of_a_content_counts():
     quoted = urllib.parse.quote("password=hunter2/hunter2", safe="")
     nested = base64.b64encode(f"a {one} b".encode()).decode()
     assert clean_after(f"{nested}, {one}, {quoted}, {nested}, {quoted}") == ", ".join(["[SECRET]"] * 5)
+
+
+def test_packed_layers_are_searched_to_their_end(monkeypatch):
+    secret = b"password = hunter2hunter2"
+    b64 = lambda data: base64.b64encode(data).decode()
+    for pack in (lambda d: gzip.compress(d, mtime=0), bz2.compress, lzma.compress):
+        members = b64(pack(b"some words, ") + pack(b"pass") + pack(secret[4:]))
+        assert found(f"({members})") == [("assign", members)]
+    far = b64(gzip.compress(("é, " * (23 << 20)).encode()[:-1] + secret, mtime=0))
+    assert found(f"({far})") == [("assign", far)]
+    monkeypatch.setattr(secret_scan, "WINDOW", 1000)
+    monkeypatch.setattr(secret_scan, "BLOCK", 64)
+    rng = random.Random(3)
+    inner = b64(zlib.compress(secret))
+    for hidden in (secret, b"A%4bIAABCDEFGHIJKLMNOP", inner.encode()):
+        noise = lambda: bytes(rng.choice(b"abcXYZ \n,(\xe9") for _ in range(rng.randrange(9000)))
+        for pack in (zlib.compress, lambda d: gzip.compress(bz2.compress(d)), lambda d: lzma.compress(zlib.compress(zlib.compress(d)))):
+            text = b64(pack(noise() + b"," + hidden + b"," + noise()))
+            assert found(f"({text})") == [(found(f"({hidden.decode()})")[0][0], text)]
