@@ -16,7 +16,8 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from itertools import chain
+from functools import partial
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +37,9 @@ ESCAPE = re.compile(
     r"|(?P<entity>&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});)"
 )
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+#: The same where the text has line feeds: runs that go on behind one, or are long enough without.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++|[A-Za-z0-9+/_-]{16,}+)={0,2}")
 #: How compressed data begins.
 MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
 #: Bytes without such a stretch hold no match, and no escapes or run that lead to one.
@@ -153,14 +157,46 @@ def checked(char: str) -> str:
 
 
 def unpacked(text: str, node: Node) -> Children:
-    """What each base64 run of the text holds, where that is text or compressed."""
-    for m in RUN.finditer(text):
-        raw = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(raw) % 4 == 1:
+    """What the base64 runs of the text hold, read from each of their first four characters on, as they may be glued to
+    others, and across line feeds. Where a run on one line is text as it stands, its finds take the whole run; other
+    finds take the groups of four characters they lie in."""
+    for m in (WRAPPED if "\n" in text else RUN).finditer(text):
+        lines = [(n.start(), n.end()) for n in LINE.finditer(m[0])]
+        clean = "".join(m[0][a:b] for a, b in lines).replace("-", "+").replace("_", "/")
+        if len(clean) < 16:
             continue
-        data, whole = base64.b64decode(raw + "=" * (-len(raw) % 4)), lambda a, b, run=m.span(): run
-        if MAGIC.match(data) or is_text(data):
-            yield Node(True), data.decode("latin-1"), node, whole
+        ends = [(m.start() + a, m.end() if b == lines[-1][1] else m.start() + b) for a, b in lines]
+        at = [0, *accumulate(b - a for a, b in lines)][:-1]
+        runs = []
+        for i, (a, b) in enumerate(lines):
+            if b - a >= 16 and (b - a) % 4 != 1:
+                data = decoded(clean[at[i]:at[i] + b - a])
+                if PRINTABLE.search(data) and is_text(data):
+                    runs.append((at[i], at[i] + b - a, ends[i]))
+                    yield Node(True), data.decode("latin-1"), node, lambda a, b, run=ends[i]: run
+        for shift in range(4):
+            if len(lines) == 1 and runs and not shift:
+                continue
+            data = decoded(clean[shift:])
+            if PRINTABLE.search(data):
+                yield Node(True), data.decode("latin-1"), node, partial(place_in_run, shift, len(clean), at, ends, runs)
+
+
+def decoded(run: str) -> bytes:
+    """A last character that is alone in its group holds no byte."""
+    run = run[:-1] if len(run) % 4 == 1 else run
+    return base64.b64decode(run + "=" * (-len(run) % 4))
+
+
+def place_in_run(shift: int, size: int, at: list[int], ends: list[tuple[int, int]], runs: list[tuple[int, int, tuple[int, int]]], start: int, end: int) -> tuple[int, int]:
+    """Where bytes start .. end lie that were read from character `shift` of a run on: lines begin at at[i] of the run
+    and reach over ends[i] of the text. Those that `runs` has as text of their own, in the same groups, are taken whole."""
+    first, last = shift + start // 3 * 4, min(size, shift - (-end // 3) * 4)
+    for a, b, whole in runs:
+        if a <= first and last <= b and (a - shift) % 4 == 0:
+            return whole
+    i, j = bisect_right(at, first) - 1, bisect_right(at, last - 1) - 1
+    return ends[i][0] + first - at[i], ends[j][1] if last == size else ends[j][0] + last - at[j]
 
 
 def is_text(data: bytes) -> bool:

@@ -110,3 +110,37 @@ def test_packed_layers_are_searched_to_their_end(monkeypatch):
         for pack in (zlib.compress, lambda d: gzip.compress(bz2.compress(d)), lambda d: lzma.compress(zlib.compress(zlib.compress(d)))):
             text = b64(pack(noise() + b"," + hidden + b"," + noise()))
             assert found(f"({text})") == [(found(f"({hidden.decode()})")[0][0], text)]
+
+
+def test_runs_at_any_place_and_across_lines():
+    secret = b"password = hunter2hunter2"
+    one = base64.b64encode(secret).decode()
+    packed = base64.b64encode(gzip.compress(secret, mtime=0)).decode()
+    for before in ("callback/", "id-", "key_", "a", "ab", "abc", "abcd", "https://x.example/callback/"):
+        for run in (one, packed):
+            assert ("assign", run) in found(f"{before}{run} x"), (before, run)
+            clean_after(f"{before}{run} x")
+    long = b"".join(b"line %d of some words\n" % i for i in range(9)) + b"and " + KEY.encode() + b" then more of them"
+    for data in (long, gzip.compress(long * 3, mtime=0)):
+        run = base64.b64encode(data).decode()
+        for width in (64, 76):
+            for feed in ("\n", "\r\n", "\n    "):
+                text = "see\n" + feed.join(run[i:i + width] for i in range(0, len(run), width)) + "\nend"
+                assert "access" in [k for k, _ in found(text)], (width, feed)
+                clean_after(text)
+    for other in (b"\xff", b"\0" * 40, b"\xe9\xe8", bytes(range(256))):
+        text = base64.b64encode(other + b" " + KEY.encode() + b" " + other).decode()
+        assert [k for k, _ in found(f"({text})")] == ["access"]
+        clean_after(f"({text})")
+    assert found("\n".join([base64.b64encode(b"nothing to see here").decode().rstrip("="), one])) == [("assign", one)]
+
+
+def test_redacted_texts_hold_nothing_more():
+    rng = random.Random(4)
+    secrets = [KEY, "password = hunter2hunter2", "deadbeefdeadbeef"]
+    packs = [lambda t: base64.b64encode(t.encode()).decode(), lambda t: base64.urlsafe_b64encode(gzip.compress(t.encode(), mtime=0)).decode().rstrip("="), lambda t: urllib.parse.quote(t, safe=""), lambda t: f"{t} {t}", lambda t: f"x/{t}", lambda t: f"{t[:40]}\n{t[40:]}", lambda t: f"({t}, é)"]
+    for _ in range(300):
+        text = rng.choice(secrets)
+        for _ in range(rng.randrange(1, 6)):
+            text = rng.choice(packs)(text)
+        clean_after(f"a {text} b")
