@@ -41,8 +41,8 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in the order of the curriculum. Rows are told apart by a hash of all they
-    hold; equal rows share it, and each counts."""
-    keyed = docs.withColumn("key", F.xxhash64(*COLUMNS))
+    hold, with nulls in their columns; equal rows share it, and each counts."""
+    keyed = docs.withColumn("key", F.sha2(F.to_json(F.struct(*COLUMNS), {"ignoreNullFields": "false"}), 256))
     taken = curriculum.occurrences(keyed, id="key").select(F.col("doc_id").alias("key"), "position", "pass")
     texts = keyed.dropDuplicates(["key"])
     return taken.join(texts, "key").orderBy("position", "key", "pass").select(*COLUMNS)

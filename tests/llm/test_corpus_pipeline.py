@@ -59,3 +59,9 @@ def test_every_stage(spark, sf, odd, table):
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.where("not round_trip").count() == 0 and out.count() > 100
+
+
+def test_mixing_tells_rows_apart_by_where_their_nulls_are(spark, sf):
+    rows = [(1, "one two three", "x", None), (1, "one two three", None, "x")]
+    out = corpus_pipeline.mix_sources(spark, documents_of(spark, rows).select(*corpus_pipeline.COLUMNS), sf).collect()
+    assert sorted([(r.lang, r.source) for r in out], key=str) == sorted([("x", None), (None, "x"), (None, "x")], key=str)
