@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm import bpe, chat_format, curriculum, language_id, merkle, ngram_join, oracle, quality, secret_scan, shard_tree, spelling, url_filter, vector_dedup
+from fairlead.llm import bpe, chat_format, curriculum, language_id, merkle, ngram_join, oracle, quality, repeats, secret_scan, shard_tree, spelling, url_filter, vector_dedup
 from fairlead.llm.shared import table
 from fairlead.llm.url_filter import Rule
 
@@ -180,6 +180,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mixed(table(spark, sf_dir, "documents")).drop("source")
 
 
+@query("op11_suffix_array_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op12_merkle_manifest", oracle.manifest_sql())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
