@@ -10,8 +10,11 @@ from fairlead.functions import dates as D
 from fairlead.functions import text as T
 from fairlead.functions.matching import add_phrase_hits
 from fairlead.functions.similarity import may_reach, ratio
+from fairlead.operators.titles import before, first_comers, firsts, similar_titles
+from fairlead.session import cut_lineage
 
-RECENT_WINDOW = 200
+#: The window of the short form, and the number of documents and characters of one call of the backlog job.
+RECENT_WINDOW, BACKLOG, BODY = 200, 100, 2000
 ENTRY = "struct<source_id:bigint,registry_id:string,name:string>"
 
 
@@ -26,20 +29,41 @@ def _institution_key(c: str) -> Column:
     return F.when(F.length(key) >= 3, key).otherwise("")
 
 
-def fuzzy_title_match(batch: DataFrame, listings: DataFrame, min_ratio: float = 92.0, window: int = RECENT_WINDOW) -> DataFrame:
-    """Best similar title per batch row: (item_id, fuzzy_id, fuzzy_source, ratio).
+def fuzzy_title_match(batch: DataFrame, listings: DataFrame, min_ratio: float = 92.0, window: int | None = None) -> DataFrame:
+    """Best similar title per batch row: (item_id, fuzzy_id, fuzzy_source, ratio); of equally similar ones the one seen
+    last, then the smallest id.
 
-    A row is compared with the most recently seen listings that carry its institution in their institution
-    or title (all listings when it has none). These windows are built once per distinct institution: the
-    rank filter is applied per task before the shuffle, so even a shared institution costs no more than
-    ``window`` rows per task, and a batch row never meets more than ``window`` titles.
-    """
+    A row is compared with all listings that are no duplicates and carry its institution in their institution or title
+    (with all when it has none), or with the `window` most recently seen of these. Titles under 8 characters have none."""
+    rows, pool = _sides(batch, listings)
+    if window is not None:
+        return _among_recent(rows, pool, min_ratio, window)
+    # Rows that ask the same and listings that answer the same are folded first, so that no title's copies meet one by one.
+    asked = rows.select("t", "inst").distinct()
+    seen = F.struct(F.coalesce("last_seen_at", F.lit("0001-01-01").cast("timestamp")).alias("at"), (-F.col("listing_id")).alias("less"), "source_id")
+    offered = pool.groupBy(F.col("lt").alias("rt"), "where_text").agg(F.max(seen).alias("s"))
+    pairs = similar_titles(asked.select("t"), offered.select(F.col("rt").alias("t")), min_ratio)
+    met = asked.join(pairs.withColumnRenamed("lt", "t"), "t").join(offered, "rt").filter((F.col("inst") == "") | F.contains("where_text", F.col("inst")))
+    best = met.groupBy("t", "inst").agg(F.max(F.struct("ratio", "s.at", "s.less", "s.source_id")).alias("b"))
+    return rows.join(best, ["t", "inst"]).select("item_id", (-F.col("b.less")).alias("fuzzy_id"), F.col("b.source_id").alias("fuzzy_source"), F.col("b.ratio").alias("ratio"))
+
+
+def _sides(batch: DataFrame, listings: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = batch.filter(F.length(F.coalesce("title", F.lit(""))) >= 8).select(
         "item_id", F.lower("title").alias("t"), _institution_key("institution").alias("inst"))
-    keys = rows.select("inst").distinct()
     pool = listings.filter(F.col("duplicate_of").isNull()).select(
-        "listing_id", "source_id", "last_seen_at", F.lower(F.coalesce("title", F.lit(""))).alias("lt"),
-        F.lower(F.concat_ws("\n", F.coalesce("institution", F.lit("")), F.coalesce("title", F.lit("")))).alias("where_text"))
+        "listing_id", "source_id", "last_seen_at", F.lower(F.coalesce("title", F.lit(""))).alias("lt"), _where_text().alias("where_text"))
+    return rows, pool
+
+
+def _where_text() -> Column:
+    return F.lower(F.concat_ws("\n", F.coalesce("institution", F.lit("")), F.coalesce("title", F.lit(""))))
+
+
+def _among_recent(rows: DataFrame, pool: DataFrame, min_ratio: float, window: int) -> DataFrame:
+    """The windows are built once per distinct institution: the rank filter is applied per task before the shuffle, so
+    even a shared institution costs no more than ``window`` rows per task."""
+    keys = rows.select("inst").distinct()
     named = add_phrase_hits(pool, "listing_id", {"insts": "where_text"}, keys.filter(F.col("inst") != "").select("inst").toDF("term"))
     spots = named.select("listing_id", "source_id", "last_seen_at", "lt", F.explode(F.concat(F.array(F.lit("")), "insts")).alias("inst"))
     spots = spots.join(keys, "inst", "left_semi")
@@ -53,25 +77,62 @@ def fuzzy_title_match(batch: DataFrame, listings: DataFrame, min_ratio: float =
     return best.select("item_id", F.col("b.listing_id").alias("fuzzy_id"), F.col("b.source_id").alias("fuzzy_source"), F.col("b.ratio").alias("ratio"))
 
 
-def resolve_upsert(batch: DataFrame, listings: DataFrame, min_ratio: float = 92.0) -> DataFrame:
-    """Action per batch row: update (same address, or similar title in the same source), shadow, or create.
+def resolve_upsert(batch: DataFrame, listings: DataFrame, min_ratio: float = 92.0, window: int | None = None) -> DataFrame:
+    """Action per batch row, as if rows came one by one by (source_id, pos, item_id) and each saw what those before did:
 
-    Among rows of one batch with the same address the first by (source_id, pos) decides and the rest
-    update it. Similar titles inside one batch meet at the next batch, when the first is a listing.
-    """
+    update (a listing with this address, or the listing with the most similar title in the same source), shadow (it is in
+    another source: `duplicate_of`), update_new and shadow_new (the same, of a row of this batch: `first_item`,
+    `shadow_of_item`), or create. Of equally similar titles a row of the batch comes before listings, the earliest first.
+
+    Rows of equal title and institution are a class, and classes, not rows, are compared. Rounds settle all rows whose
+    earlier similar rows are settled, or one of them is created (the first independent set by order)."""
     exact = exact_match(batch, listings)
-    fuzzy = fuzzy_title_match(exact.filter(F.col("exact_id").isNull()), listings, min_ratio)
-    firsts = batch.groupBy("url_hash").agg(F.min(F.struct("source_id", "pos", "item_id")).alias("first"))
-    j = exact.join(fuzzy, "item_id", "left").join(firsts, "url_hash")
-    later = F.col("first.item_id") != F.col("item_id")
-    foreign = F.col("fuzzy_source").isNotNull() & (F.col("fuzzy_source") != F.col("source_id"))
-    action = (F.when(F.col("exact_id").isNotNull(), "update").when(later, "update_new").when(F.col("fuzzy_id").isNotNull() & foreign, "shadow")
-              .when(F.col("fuzzy_id").isNotNull(), "update").otherwise("create"))
-    return j.withColumn("action", action).withColumns({
-        "target_id": F.when(F.col("action") == "update", F.coalesce("exact_id", "fuzzy_id")),
-        "duplicate_of": F.when(F.col("action") == "shadow", F.col("fuzzy_id")),
-        "first_item": F.when(F.col("action") == "update_new", F.col("first.item_id")),
-    }).drop("first")
+    fuzzy = fuzzy_title_match(exact.filter(F.col("exact_id").isNull()), listings, min_ratio, window)
+    o = F.struct("source_id", "pos", "item_id")
+    t, inst = F.lower(F.coalesce("title", F.lit(""))), _institution_key("institution")
+    rows = exact.join(fuzzy, "item_id", "left").withColumns({"o": o, "t": t, "inst": inst, "where_text": _where_text(), "kind": F.when(F.col("exact_id").isNotNull(), "update")})
+    rows = cut_lineage(rows.withColumn("c", F.sha2(F.concat_ws("\x00", "t", "inst", "where_text"), 256)))
+    new = rows.filter(F.col("kind").isNull())
+    classes = new.select("c", "t", "inst", "where_text").distinct()
+    asking = classes.filter(F.length("t") >= 8)
+    pairs = similar_titles(asking.select("t"), classes.select("t"), min_ratio)
+    there = classes.select(F.col("c").alias("d"), F.col("t").alias("rt"), F.col("where_text").alias("d_text"))
+    met = asking.join(pairs.withColumnRenamed("lt", "t"), "t").join(there, "rt").filter((F.col("inst") == "") | F.contains("d_text", F.col("inst")))
+    edges = cut_lineage(met.select("c", "d", "ratio"))
+
+    state = cut_lineage(new.select("item_id", "source_id", "o", "c", F.col("url_hash").alias("h"), "fuzzy_id", "fuzzy_source", F.col("ratio").alias("f_ratio"), F.lit(None).cast("string").alias("kind")))
+    state = state.withColumns({"first_item": F.lit(None).cast("bigint"), "target": F.lit(None).cast("bigint")})
+    waiting = F.col("kind").isNull() | (F.col("kind") == "out")
+    while not state.filter(waiting).isEmpty():
+        by_class = firsts(state, "c", F.col("kind").isNull(), F.col("kind") == "create")
+        led = edges.join(by_class.withColumnRenamed("c", "d"), "d")
+        around = led.groupBy("c").agg(F.min("open").alias("c_open"), F.min("hit").alias("c_hit"))
+        same = firsts(state, "h", waiting, F.col("kind").isin("create", "shadow", "shadow_new")).toDF("h", "h_open", "h_hit")
+        # The most similar row created before; of a class, the first.
+        made = led.filter(F.col("hit").isNotNull()).select("c", "ratio", "hit")
+        best = state.filter(waiting).select("item_id", "o", "c").join(made, "c").filter(F.col("hit") < F.col("o")).groupBy("item_id").agg(F.max_by(F.struct("ratio", "hit"), F.struct("ratio", _backwards("hit"))).alias("m"))
+        j = state.join(around, "c", "left").join(same, "h", "left").join(best, "item_id", "left")
+        mine = F.col("m").isNotNull() & (F.coalesce("f_ratio", F.lit(0.0)) <= F.coalesce(F.col("m.ratio"), F.lit(0.0)))
+        foreign = F.when(mine, F.col("m.hit.source_id")).otherwise(F.col("fuzzy_source")) != F.col("source_id")
+        settled = ~before("c_open") & ~before("h_open")
+        matched = before("c_hit") | F.col("fuzzy_id").isNotNull()
+        kind = (F.when(before("h_hit"), "update_new").when(matched & settled, F.when(mine, F.when(foreign, "shadow_new").otherwise("update_new")).when(foreign, "shadow").otherwise("update"))
+                .when(matched, "out").when(settled, "create"))
+        j = j.withColumn("was", F.col("kind")).withColumn("kind", F.when(waiting, F.coalesce(kind, "kind")).otherwise(F.col("kind")))
+        fresh = (F.col("was").isNull() | (F.col("was") == "out")) & F.col("kind").isin("update", "update_new", "shadow", "shadow_new")
+        target = F.when(before("h_hit"), F.col("h_hit.item_id")).when(mine, F.col("m.hit.item_id"))
+        state = cut_lineage(j.withColumn("target", F.when(fresh, target).otherwise(F.col("target"))).select(*state.columns))
+    done = rows.select("item_id", "exact_id", F.col("kind").alias("known")).join(state.select("item_id", "kind", "target", "fuzzy_id", "fuzzy_source"), "item_id", "left")
+    done = done.withColumn("action", F.coalesce("known", "kind"))
+    told = done.select("item_id", "action", "exact_id", "fuzzy_id", "fuzzy_source", F.when(F.col("action") == "update", F.coalesce("exact_id", "fuzzy_id")).alias("target_id"),
+                       F.when(F.col("action") == "shadow", F.col("fuzzy_id")).alias("duplicate_of"), F.when(F.col("action") == "update_new", F.col("target")).alias("first_item"),
+                       F.when(F.col("action") == "shadow_new", F.col("target")).alias("shadow_of_item"))
+    return batch.join(told, "item_id")
+
+
+def _backwards(c: str) -> Column:
+    """Orders what comes first as the largest."""
+    return F.struct(*[(-F.col(f"{c}.{x}")).alias(x) for x in ("source_id", "pos", "item_id")])
 
 
 def apply_updates(listings: DataFrame, updates: DataFrame, as_of: Column) -> DataFrame:
@@ -110,24 +171,27 @@ def record_also_seen(seen: Column, entry: Column, own_source: Column, source: Co
     return F.when(source.isNull() | (own_source == source), seen).otherwise(last)
 
 
-def normalize_backlog(raw: DataFrame, listings: DataFrame, limit: int = 100, ratio_above: float = 90.0) -> DataFrame:
-    """Unprocessed documents, at most ``limit`` per call: create those with a new address and no similar title.
+def normalize_backlog(raw: DataFrame, listings: DataFrame, limit: int | None = None, ratio_above: float = 90.0, body: int | None = None) -> DataFrame:
+    """Unprocessed documents, by doc_id (the first `limit` of them): create those with a new address and no similar title
+    among the listings and the documents created before them.
 
-    The limit makes the document side a proven small list, so every listing title is read once against it.
-    """
-    batch = raw.filter(~F.col("processed")).orderBy("doc_id").limit(limit)
-    picked = [r.asDict() for r in batch.select("doc_id", "url_hash", F.lower("title").alias("t")).collect()]
-    docs = T.literal([{"doc_id": r["doc_id"], "t": r["t"]} for r in picked], "array<struct<doc_id:bigint,t:string>>")
-    near = listings.select(F.lower("title").alias("lt")).distinct().select(
-        "lt", F.inline(F.filter(docs, lambda d: may_reach(d["t"], F.col("lt"), ratio_above))))
-    similar = near.filter(ratio(F.col("lt"), F.col("t")) > ratio_above).select("doc_id").distinct().withColumn("similar", F.lit(True))
+    A missing summary is the text of the content, cut to `body` characters if asked for."""
+    batch = raw.filter(~F.col("processed"))
+    if limit is not None:
+        batch = batch.orderBy("doc_id").limit(limit)
+    batch = cut_lineage(batch.withColumn("t", F.lower(F.coalesce("title", F.lit("")))))
+    titles = batch.select("t")
+    near = similar_titles(titles, listings.select(F.lower("title").alias("t")), ratio_above, above=True).select(F.col("lt").alias("t")).distinct().withColumn("similar", F.lit(True))
     known = listings.select("url_hash").distinct().withColumn("known", F.lit(True))
-    j = batch.join(known, "url_hash", "left").join(similar, "doc_id", "left")
-    body = F.substring(T.strip_html("raw_content"), 1, 2000)
+    rows = batch.join(known, "url_hash", "left").join(near, "t", "left").withColumn("barred", F.coalesce("known", "similar", F.lit(False)))
+    edges = similar_titles(titles, titles, ratio_above, above=True).select(F.col("lt").alias("c"), F.col("rt").alias("d"))
+    done = first_comers(rows.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("o"), F.nullif("t", F.lit("")).alias("c"), F.col("url_hash").alias("h"), "barred"), edges)
+    j = batch.join(done.select(F.col("id").alias("doc_id"), "created"), "doc_id")
+    text = T.strip_html("raw_content")
+    content = F.coalesce("summary", text if body is None else F.substring(text, 1, body))
     return j.select(
-        "doc_id", "url_hash", F.when(F.col("known") | F.coalesce("similar", F.lit(False)), "skip").otherwise("create").alias("action"), "title",
-        F.coalesce("summary", body).alias("summary"), T.classify_type("title", F.coalesce("summary", body)).alias("opportunity_type"),
-        D.parse_deadline(F.coalesce("summary", body)).alias("deadline"))
+        "doc_id", "url_hash", F.when(F.col("created"), "create").otherwise("skip").alias("action"), "title",
+        content.alias("summary"), T.classify_type("title", content).alias("opportunity_type"), D.parse_deadline(content).alias("deadline"))
 
 
 def append_raw_documents(new: DataFrame, existing: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from fairlead.bindings import AS_OF, Bindings
 from fairlead.functions import text as T
 from fairlead.functions import urls as U
 from fairlead.operators import resolve as X
+from fairlead.operators.titles import similar_titles
 from fairlead.plans.registry import query
 
 
@@ -36,6 +37,19 @@ def d02(b: Bindings):
     return X.fuzzy_title_match(batch(b), b.listings).select("item_id", "fuzzy_id", F.round("ratio", 4).alias("ratio"))
 
 
+@query("d02_recent_window")
+def d02w(b: Bindings):
+    """The same among the most recently seen listings only."""
+    return X.fuzzy_title_match(batch(b), b.listings, window=X.RECENT_WINDOW).select("item_id", "fuzzy_id", F.round("ratio", 4).alias("ratio"))
+
+
+@query("j09_similar_titles")
+def j09(b: Bindings):
+    """All pairs of distinct titles of listings with the ratio at which they count as similar."""
+    titles = b.listings.select(F.lower("title").alias("t"))
+    return similar_titles(titles, titles, 92.0).select(F.col("lt").alias("title"), F.col("rt").alias("other"), F.round("ratio", 4).alias("ratio"))
+
+
 @query("d02_prefilter")
 def d02p(b: Bindings):
     from fairlead.functions.similarity import may_reach
@@ -46,7 +60,14 @@ def d02p(b: Bindings):
 
 @query("d03_resolve_upsert")
 def d03(b: Bindings):
-    return X.resolve_upsert(batch(b), b.listings).select("item_id", "action", "target_id", "duplicate_of", "first_item")
+    return X.resolve_upsert(batch(b), b.listings).select("item_id", "action", "target_id", "duplicate_of", "first_item", "shadow_of_item")
+
+
+@query("d03_new_batch")
+def d03n(b: Bindings):
+    """New items only: what a batch does to itself, without listings."""
+    new = batch(b).withColumn("url_hash", F.sha2(F.concat(F.lit("in batch "), (F.col("pos") - F.col("pos") % 8).cast("string")), 256))
+    return X.resolve_upsert(new, b.listings.limit(0)).select("item_id", "action", "first_item", "shadow_of_item")
 
 
 def updates(b: Bindings) -> DataFrame:
@@ -97,6 +118,12 @@ def d06(b: Bindings):
     return X.normalize_backlog(raw_docs(b), b.listings).select("doc_id", "action", "opportunity_type")
 
 
+@query("d06_one_call")
+def d06c(b: Bindings):
+    """One call of the backlog job, which takes so many documents and characters."""
+    return X.normalize_backlog(raw_docs(b), b.listings, limit=X.BACKLOG, body=X.BODY).select("doc_id", "action", "opportunity_type")
+
+
 @query("d07_merge_snapshot")
 def d07(b: Bindings):
     i = F.col("listing_id")
