@@ -45,7 +45,16 @@ def t02(b: Bindings):
 @query("t03_stream_status_history")
 def t03(b: Bindings):
     ok, _ = J.split_status_events(status_stream(b).withColumn("listing_id", F.col("listing_id") % 3))
-    return J.fold_batches(ok, "history", J.history_step).select("user_id", "listing_id", "event_id", "from_status", "to_status", "dismiss_reason")
+    out = J.drain_to_table(J.stream_status_history(ok), "history", "update")
+    return J.last_rows(out, ["user_id", "listing_id"]).select("user_id", "listing_id", "event_id", "from_status", "to_status", "dismiss_reason")
+
+
+@query("t03_stream_whole_history")
+def t03w(b: Bindings):
+    """The same with every listing apart."""
+    ok, _ = J.split_status_events(status_stream(b))
+    out = J.drain_to_table(J.stream_status_history(ok), "whole-history", "update")
+    return J.last_rows(out, ["user_id", "listing_id"]).select("user_id", "listing_id", "event_id", "from_status", "to_status", "dismiss_reason")
 
 
 @query("t03_status_rejects")
@@ -56,21 +65,21 @@ def t03r(b: Bindings):
 
 @query("t04_stream_rerank_requests")
 def t04(b: Bindings):
-    out = J.drain_to_table(J.stream_rerank_requests(status_stream(b)), "rerank")
-    last = b.status_events.agg(F.max("happened_at")).scalar()
-    closed = out.filter(F.col("ended") < last - F.expr("INTERVAL 3 HOURS"))
-    return closed.select("user_id", F.unix_micros("started").alias("started_us"), "changes")
+    out = J.complete_requests(J.drain_to_table(J.stream_rerank_requests(status_stream(b)), "rerank", "update"))
+    return out.select("user_id", F.unix_micros("started").alias("started_us"), "changes")
 
 
 @query("t05_stream_source_health")
 def t05(b: Bindings):
-    return J.fold_batches(streamed(b, "runs", "orders"), "health", J.health_step).select("source_id", "consecutive_failures", "deactivate")
+    out = J.drain_to_table(J.stream_source_health(streamed(b, "runs", "orders")), "health", "update")
+    return J.last_rows(out, ["source_id"]).select("source_id", "consecutive_failures", "deactivate")
 
 
 @query("t06_stream_pending_queue")
 def t06(b: Bindings):
     s = streamed(b, "listings", "documents").select("source_id", "url", "title", F.col("listing_id").alias("pos"), (F.col("listing_id") % 6 == 0).alias("done"))
-    return J.fold_batches(s, "pending", lambda old, batch: J.pending_step(old, batch, 30)).select("source_id", "url")
+    out = J.drain_to_table(J.stream_pending_queue(s, 30), "pending", "update")
+    return J.last_rows(out, ["source_id"]).filter(F.col("url").isNotNull()).select("source_id", "url")
 
 
 def verdict_events(s: DataFrame) -> DataFrame:
@@ -90,6 +99,14 @@ def t07d(b: Bindings):
     return final.groupBy("source_id", "verdict").agg(F.count("*").alias("windows"), F.max("n").alias("busiest"))
 
 
+@query("t07_counts_and_late_rows")
+def t07l(b: Bindings):
+    """Counts of the rows in time, and the late rows in one more row per source and kind."""
+    counts, late = J.counted_metrics(verdict_events(status_stream(b)), "counted")
+    missed = late.groupBy("source_id", "verdict").agg(F.count("*").alias("n")).select("source_id", "verdict", F.lit(None).cast("bigint").alias("window_start"), "n")
+    return counts.select("source_id", "verdict", J.epoch("window_start").alias("window_start"), "n").unionByName(missed)
+
+
 @query("t08_stream_raw_documents")
 def t08(b: Bindings):
     s = streamed(b, "listings", "documents").select(F.concat(F.lit("page"), (F.col("source_id") % 5).cast("string")).alias("url_hash"), "content_hash", F.col("created_at").alias("fetched_at"))

@@ -1,8 +1,8 @@
 """Incremental jobs on Structured Streaming, with batch twins for the same results.
 
-State that outlives a micro-batch is either Spark's own (watermarked de-duplication, aggregates,
-session windows) or a small versioned table in the shared folder that foreachBatch rewrites under the
-batch number, so a replayed batch writes the same version again.
+State that outlives a micro-batch is in Spark's state store: watermarked de-duplication, aggregates, and
+processors with list and value state per key (processors.py). What a batch gives goes to a folder of its
+own number, so that a replayed batch writes the same again.
 """
 
 from __future__ import annotations
@@ -10,13 +10,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fairlead.operators import gate as G
-from fairlead.operators.metrics import DEACTIVATE_AT, failure_streaks
+from fairlead.operators.metrics import DEACTIVATE_AT
+from fairlead.rules.gate_rules import MAX_PENDING
 from fairlead.session import shared_dir
+from fairlead.streaming.processors import Bursts, PendingQueue, SourceHealth, StatusHistory
 
 HISTORY = 50
 
@@ -54,25 +57,10 @@ def last_update(rows: DataFrame, keys: list[str], values: list[str]) -> DataFram
     return top.select(*keys, *[F.col(f"v.{v}").alias(v) for v in values])
 
 
-def fold_batches(stream: DataFrame, name: str, step: Callable[[DataFrame | None, DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """Fold micro-batches into a state table: version n+1 comes from version n and batch n."""
-    spark = stream.sparkSession
-    root = new_folder(spark, name)
-
-    def write(batch: DataFrame, n: int) -> None:
-        old = batch.sparkSession.read.parquet(f"{root}/state/v={n}") if n > 0 else None
-        step(old, batch).write.mode("overwrite").parquet(f"{root}/state/v={n + 1}")
-
-    q = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).foreachBatch(write).start())
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else -1
-    done = [v for v in range(last + 1, 0, -1) if _exists(spark, f"{root}/state/v={v}")]
-    return spark.read.parquet(f"{root}/state/v={done[0]}")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def last_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of a stream that gives all rows of a key whenever it is touched: those of its last batch."""
+    newest = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return rows.join(newest, [*keys, "batch"], "left_semi").drop("batch")
 
 
 # ---------------------------------------------------------------- jobs
@@ -119,53 +107,83 @@ def status_history(events: DataFrame, keep: int = HISTORY) -> DataFrame:
         "user_id", "listing_id", "event_id", "happened_at", "from_status", F.col("status").alias("to_status"), "dismiss_reason")
 
 
-def history_step(old: DataFrame | None, batch: DataFrame, keep: int = HISTORY) -> DataFrame:
-    """State of stream_status_history: kept transitions plus, per pair, the status it stands at."""
-    cols = ["user_id", "listing_id", "event_id", "happened_at", "status", "dismiss_reason"]
-    if old is None:
-        return status_history(batch.select(*cols), keep)
-    seeds = old.groupBy("user_id", "listing_id").agg(F.max_by(F.struct("event_id", "happened_at", "to_status"), F.struct("happened_at", "event_id")).alias("s"))
-    seeds = seeds.join(batch.select("user_id", "listing_id").distinct(), ["user_id", "listing_id"], "left_semi").select(
-        "user_id", "listing_id", "s.event_id", "s.happened_at", F.col("s.to_status").alias("status"), F.lit(None).cast("string").alias("dismiss_reason"))
-    fresh = status_history(batch.select(*cols).unionByName(seeds), keep).join(seeds.select("event_id"), "event_id", "left_anti")
-    both = old.unionByName(fresh)
-    recent = F.row_number().over(W.partitionBy("user_id", "listing_id").orderBy(F.desc("happened_at"), F.desc("event_id")))
-    return both.withColumn("age", recent).filter(F.col("age") <= keep).drop("age")
+def keyed(stream: DataFrame, keys: list[str], processor, schema: str, watermark: bool = False) -> DataFrame:
+    """A stream through a processor with state per key. Only keys that a batch touches (or whose timer is due) are read,
+    changed and written, by Spark's state store; a replayed batch starts from the state before it."""
+    return stream.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="Update", timeMode="EventTime" if watermark else "None")
+
+
+def stream_status_history(events: DataFrame, keep: int = HISTORY) -> DataFrame:
+    """The last transitions of every touched (user, listing), for last_rows by these keys."""
+    cols = events.select("user_id", "listing_id", "event_id", "happened_at", "status", "dismiss_reason")
+    return keyed(cols, ["user_id", "listing_id"], StatusHistory(keep), "user_id long, listing_id long, event_id long, happened_at timestamp, from_status string, to_status string, dismiss_reason string")
+
+
+def stream_source_health(runs: DataFrame) -> DataFrame:
+    """Failures in a row of every touched source, for last_rows by source_id."""
+    cols = runs.select("source_id", "run_id", "finished_at", "status")
+    return keyed(cols, ["source_id"], SourceHealth(DEACTIVATE_AT), "source_id long, consecutive_failures long, deactivate boolean")
+
+
+def stream_pending_queue(items: DataFrame, cap: int = MAX_PENDING) -> DataFrame:
+    """The queue of every touched source, for last_rows by source_id: old entries first, unseen deferred ones (done =
+    false) after, capped, done ones gone. An empty queue is one row without an address."""
+    cols = items.select("source_id", "url", "title", "pos", "done")
+    return keyed(cols, ["source_id"], PendingQueue(cap), "source_id long, place int, url string, title string, pos long")
 
 
 def stream_rerank_requests(events: DataFrame, gap: str = "2 hours", delay: str = "1 hour") -> DataFrame:
-    """One request per user and burst of status changes (append mode, when the burst is over)."""
-    return events.withWatermark("happened_at", delay).groupBy("user_id", F.session_window("happened_at", gap).alias("s")).agg(
-        F.count("*").alias("changes")).select("user_id", F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "changes")
+    """Requests of every touched user, one per burst of status changes: bursts that are over (closed, given once), and those
+    still open as they stand, in full whenever one changes. complete_requests takes both together."""
+    cols = events.withWatermark("happened_at", delay).select("user_id", "happened_at")
+    return keyed(cols, ["user_id"], Bursts(int(pd.Timedelta(gap).total_seconds() * 1_000_000)), "user_id long, started timestamp, ended timestamp, changes long, closed boolean", watermark=True)
 
 
-def health_step(old: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """State of stream_source_health: failures in a row per source; a clean run in the batch restarts the count."""
-    now = failure_streaks(batch.select("source_id", "run_id", "finished_at", "status"))
-    clean = batch.filter(F.col("status") == "completed").select("source_id").distinct().withColumn("had_clean", F.lit(True))
-    now = now.join(clean, "source_id", "left").select("source_id", F.col("consecutive_failures").alias("n"), F.coalesce("had_clean", F.lit(False)).alias("had_clean"))
-    if old is None:
-        merged = now.select("source_id", F.col("n").alias("consecutive_failures"))
-    else:
-        j = old.select("source_id", F.col("consecutive_failures").alias("o")).join(now, "source_id", "full_outer")
-        merged = j.select("source_id", F.when(F.coalesce("had_clean", F.lit(False)), F.col("n")).otherwise(F.coalesce("o", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("consecutive_failures"))
-    return merged.withColumn("deactivate", F.col("consecutive_failures") >= DEACTIVATE_AT)
+def complete_requests(rows: DataFrame) -> DataFrame:
+    """All bursts: the closed ones, and the last word on open ones."""
+    open_now = last_rows(rows, ["user_id"]).filter(~F.col("closed") & F.col("started").isNotNull())
+    return rows.filter("closed").drop("batch").unionByName(open_now).select("user_id", "started", "ended", "changes")
 
 
-def pending_step(old: DataFrame | None, batch: DataFrame, cap: int) -> DataFrame:
-    """State of stream_pending_queue: capped queue per source; batch rows with done = true leave it."""
-    cols = ["source_id", "url", "title", "pos"]
-    queue = old.select(*cols) if old is not None else batch.select(*cols).limit(0)
-    return G.pending_queue(queue, batch.filter(~F.col("done")), batch.filter("done"), cap)
+def rerank_requests_batch(events: DataFrame, gap: str = "2 hours") -> DataFrame:
+    return events.groupBy("user_id", F.session_window("happened_at", gap).alias("s")).agg(F.count("*").alias("changes")).select(
+        "user_id", F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "changes")
 
 
 def stream_run_metrics(decisions: DataFrame, width: str = "1 hour", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """Event counts per source, kind and window (update mode); rows later than the watermark are dropped."""
+    """Event counts per source, kind and window (update mode); rows later than the watermark are dropped. counted_metrics
+    keeps and counts these."""
     win = F.window("happened_at", width, slide) if slide else F.window("happened_at", width)
     return decisions.withWatermark("happened_at", delay).groupBy("source_id", "verdict", win.alias("w")).agg(F.count("*").alias("n")).select(
         "source_id", "verdict", F.col("w.start").alias("window_start"), "n")
 
 
+def counted_metrics(decisions: DataFrame, name: str, width: str = "1 hour", delay: str = "1 hour") -> tuple[DataFrame, DataFrame]:
+    """Counts per source, kind and window of the rows in time, and the rows that came too late, so that both add up to the
+    input. A row is late if its window ended before the watermark, which is the latest time of earlier batches less the
+    delay. Each batch writes its own counts, late rows and latest time under its number: a replay writes the same again."""
+    spark = decisions.sparkSession
+    root = new_folder(spark, name)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in decisions.schema)
+
+    def write(batch: DataFrame, n: int) -> None:
+        s = batch.sparkSession
+        marks = s.read.schema("latest timestamp, batch int").parquet(f"{root}/marks").filter(F.col("batch") < n) if n else None
+        latest = marks.agg(F.max("latest")).first()[0] if n else None
+        ended = F.window("happened_at", width)["end"]
+        late = F.coalesce(ended <= F.lit(latest) - F.expr(f"INTERVAL {delay}"), F.lit(False)) if latest else F.lit(False)
+        batch = batch.persist()
+        batch.filter(late).write.mode("overwrite").parquet(f"{root}/late/batch={n}")
+        run_metrics_batch(batch.filter(~late), width).write.mode("overwrite").parquet(f"{root}/counts/batch={n}")
+        batch.agg(F.max("happened_at").alias("latest")).coalesce(1).write.mode("overwrite").parquet(f"{root}/marks/batch={n}")
+        batch.unpersist()
+
+    drain(decisions, write, f"{root}/ckpt")
+    counts = spark.read.parquet(f"{root}/counts").groupBy("source_id", "verdict", "window_start").agg(F.sum("n").alias("n"))
+    return counts, spark.read.schema(kinds).parquet(f"{root}/late")
+
+
 def stream_raw_documents(docs: DataFrame, delay: str = "60 days") -> DataFrame:
     """New versions of landed pages: first of each (url_hash, content_hash) within the watermark."""
     return docs.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["url_hash", "content_hash"])
