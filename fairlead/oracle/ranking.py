@@ -126,6 +126,8 @@ p AS (SELECT unnest(list_transform(range(0, 6), lambda k: concat_ws(' ', w[k * 7
 v AS (SELECT DISTINCT CASE WHEN k % 2 = 0 THEN p ELSE substr(p, 2, 200) END AS term FROM p), u AS (SELECT term FROM v WHERE trim(term) <> ''),
 h AS (SELECT doc_id, count(*) AS n, md5(string_agg(term, '|' ORDER BY term)) AS m FROM d JOIN u ON contains(t, term) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_hits, coalesce(m, md5('')) AS hits_md5 FROM d LEFT JOIN h USING (doc_id)""")
+oracle("r05_shared_word", """WITH d AS (SELECT doc_id, 'university of town' || (doc_id % 5000) AS term, lower(concat('university of town', doc_id % 5000, ' ', text)) AS t FROM documents), v AS (SELECT DISTINCT term FROM d)
+SELECT doc_id, string_agg(v.term, '|' ORDER BY v.term) AS hits FROM d JOIN v ON contains(t, v.term) GROUP BY doc_id""")
 oracle("r09_composite", with_views("feedback", """SELECT user_id, listing_id, round((CASE WHEN has_semantic THEN 0.45::DOUBLE * semantic ELSE 0 END + 0.3::DOUBLE * eligibility
   + CASE WHEN has_urgency THEN 0.15::DOUBLE * urgency ELSE 0 END + CASE WHEN NOT hide_percent THEN 0.1::DOUBLE * fit_score ELSE 0 END)
   / (CASE WHEN has_semantic THEN 0.45::DOUBLE ELSE 0 END + 0.3::DOUBLE + CASE WHEN has_urgency THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN NOT hide_percent THEN 0.1::DOUBLE ELSE 0 END) + 1e-9, 4) AS composite,

@@ -24,8 +24,8 @@ def r4(c, digits: int = 4):
 
 def interaction_scores(b: Bindings):
     """Scores of the pairs that users have reacted to."""
-    side, users = R.prepared(b.listings, b.profiles, b.vectors)
     pairs = b.feedback.select("user_id", "listing_id", "status")
+    side, users = R.prepared(b.listings, b.profiles, b.vectors, pairs)
     return R.score_pairs(pairs, side, users, R.affinity_profile(b.feedback, b.listings), now())
 
 
@@ -96,6 +96,15 @@ def r05_large(b: Bindings):
     return found.select("doc_id", F.size("hits").cast("bigint").alias("n_hits"), F.md5(F.array_join("hits", "|")).alias("hits_md5"))
 
 
+@query("r05_shared_word")
+def r05_shared(b: Bindings):
+    """Hits of up to five thousand phrases that share their longest word, in texts that all hold it."""
+    named = F.concat(F.lit("university of town"), (F.col("doc_id") % 5000).cast("string"))
+    texts = b.documents.select("doc_id", F.lower(F.concat(named, F.lit(" "), F.col("text"))).alias("t"))
+    found = add_phrase_hits(texts, "doc_id", {"hits": "t"}, b.documents.select(named.alias("term")).distinct())
+    return found.select("doc_id", F.array_join("hits", "|").alias("hits"))
+
+
 def weights_text(weights):
     return T.joined(F.transform(F.map_entries(weights), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"], 2).cast("string"))))
 
