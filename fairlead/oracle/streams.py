@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from fairlead.bindings import with_views
 from fairlead.oracle.gate import gq
+from fairlead.oracle.resolve import resolve_sql
 from fairlead.plans.registry import ORACLES, oracle
 
 
@@ -12,6 +13,10 @@ def tq(name: str, sql: str, views: str = "status_events") -> None:
 
 
 gq("t01_stream_listings", "SELECT listing_id, verdict, reason FROM gate QUALIFY row_number() OVER (PARTITION BY url ORDER BY listing_id) = 1")
+gq("t01_stream_ingest", f"""SELECT k.item_id AS listing_id, k.source_id, k.title, CASE WHEN w.action = 'shadow_new' THEN w.other END AS duplicate_of, coalesce(u.content_hash, k.content_hash) AS content_hash, coalesce(u.n, 0) AS n_updates
+FROM told w JOIN ba k USING (item_id) LEFT JOIN (SELECT other AS item_id, count(*) AS n, arg_max(k.content_hash, k.source_id * 1099511627776 + k.pos) AS content_hash FROM told t JOIN ba k USING (item_id) WHERE action = 'update_new' GROUP BY other) u
+  ON u.item_id = k.item_id WHERE w.action <> 'update_new'""", f""", ba AS (SELECT l.listing_id AS item_id, l.source_id, l.listing_id AS pos, l.title, l.institution, l.url_hash, l.content_hash FROM gate g JOIN listings l USING (listing_id) WHERE g.verdict = 'admit'),
+none AS (SELECT CAST(NULL AS BIGINT) AS item_id, CAST(NULL AS BIGINT) AS fuzzy_id, CAST(NULL AS BIGINT) AS fuzzy_source, CAST(NULL AS DOUBLE) AS ratio), {resolve_sql('ba', 'none').replace('LEFT JOIN listings l ON l.url_hash = k.url_hash', 'LEFT JOIN (SELECT * FROM listings LIMIT 0) l ON l.url_hash = k.url_hash')}""")
 tq("t02_stream_affinity", """, w AS (SELECT user_id, listing_id, CASE status WHEN 'saved' THEN 0.6 WHEN 'in_progress' THEN 1.0 WHEN 'applied' THEN 1.0 ELSE 0 END::DOUBLE AS wp,
   CASE WHEN status = 'dismissed' THEN CASE WHEN dismiss_reason IS NOT NULL THEN 0.85 ELSE 0.5 END ELSE 0 END::DOUBLE AS wn FROM status_events),
 k AS (SELECT listing_id, 'tag' AS kind, unnest(tags) AS key FROM listings UNION ALL SELECT listing_id, 'inst', lower(institution) FROM listings WHERE institution IS NOT NULL)

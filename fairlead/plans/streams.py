@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlead.bindings import VIEWS, Bindings, SparkDialect
+from fairlead.bindings import AS_OF, VIEWS, Bindings, SparkDialect
 from fairlead.plans.gate import TERMS
 from fairlead.plans.registry import query
+from fairlead.streaming import ingest as I
 from fairlead.streaming import jobs as J
 
 
@@ -36,6 +37,15 @@ def t01(b: Bindings):
     return J.drain_to_table(J.stream_listings(s, TERMS).select("listing_id", "verdict", "reason"), "listings").drop("batch")
 
 
+@query("t01_stream_ingest")
+def t01i(b: Bindings):
+    """Gate, extraction, resolution and upsert as one flow: the listings after all documents have come in."""
+    src = b.sources.select(F.col("id").alias("source_id"), F.col("regions").alias("source_regions"))
+    items = streamed(b, "listings", "documents").join(src, "source_id", "left").withColumn("pos", F.col("listing_id"))
+    root, version = I.stream_ingest(items, F.lit(AS_OF).cast("timestamp"), TERMS)
+    return I.snapshot(b.spark, root, version).select("listing_id", "source_id", "title", "duplicate_of", "content_hash", "n_updates")
+
+
 @query("t02_stream_affinity")
 def t02(b: Bindings):
     out = J.drain_to_table(J.stream_affinity(status_stream(b), b.listings), "affinity", "update")
