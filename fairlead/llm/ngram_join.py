@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairlead.llm.components import components
-from fairlead.llm.shared import dealt_afresh, emptied, map_text, sliced, written
+from fairlead.llm.shared import dealt_afresh, emptied, given_back, map_text, sliced, written
 from fairlead.llm.shingles import mix, sets_of
 
 #: Counters of the sketch, and how many of them one row of it holds.
@@ -37,12 +37,13 @@ def counted(docs: DataFrame) -> DataFrame:
     """One pass over the texts: for each row its set's size and 128-bit key (ident, ident2), and for each task the
     counters of the sketch in rows of their own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, waiting, held = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
+        sketch, waiting, held = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
 
         def settle() -> None:
             nonlocal waiting, held
             if waiting:
-                sketch[:] += np.bincount(np.concatenate(waiting), minlength=len(sketch))
+                places, n = np.unique(np.concatenate(waiting), return_counts=True)
+                sketch[places] += n.astype(np.uint32)
             waiting, held = [], 0
 
         for batch in batches:
@@ -53,9 +54,9 @@ def counted(docs: DataFrame) -> DataFrame:
                     for keys, mask in ((one, KEY), (two, ~KEY)):
                         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(found ^ mask))])
                         keys.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
-                    waiting.append((found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
+                    waiting.append((found >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32))
                     held += len(found)
-                    if held > 1 << 21:
+                    if held > 1 << 18:
                         settle()
                 rows = part.num_rows
                 yield pa.RecordBatch.from_arrays([
@@ -67,8 +68,9 @@ def counted(docs: DataFrame) -> DataFrame:
         some = np.flatnonzero(chunks.any(axis=1))
         yield pa.RecordBatch.from_arrays([
             pa.nulls(len(some), kind), *(pa.nulls(len(some), pa.int64()) for _ in range(3)),
-            pa.array(some.astype(np.int32)), pa.array([chunks[c].astype(np.uint32).tobytes() for c in some], pa.binary()),
+            pa.array(some.astype(np.int32)), pa.array([chunks[c].tobytes() for c in some], pa.binary()),
         ], names=["doc_id", "n", "ident", "ident2", "chunk", "counters"])
+        given_back()
 
     kind = pa.int64()
     return docs.mapInArrow(run, "doc_id long, n long, ident long, ident2 long, chunk int, counters binary")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlead.llm.shared import emptied, map_text, written
+from fairlead.llm.shared import emptied, given_back, map_text, written
 from fairlead.llm.shingles import BASE, BASE_INVERSE, mix
 from fairlead.llm.suffixes import common_prefixes, suffix_array
 
@@ -188,7 +188,7 @@ def in_shards(wanted: DataFrame, length: int) -> DataFrame:
                 size += len(row[4])
         if held:
             yield settled()
-        pa.default_memory_pool().release_unused()
+        given_back()
 
     dealt = wanted.select("key", "digest", "o", "n", "data").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, f"key long, digest long, o int, runs {RUNS}")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -67,6 +69,14 @@ def emptied(*tables: DataFrame) -> None:
         table.sparkSession.range(0).write.mode("overwrite").parquet(table.written_to)
 
 
+def given_back() -> None:
+    """At the end of a task: what Arrow's pool and the C heap hold without use goes back, as the worker lives on."""
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_text(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict[str, list | np.ndarray | pa.Array]]]) -> DataFrame:
     """Runs a function over record batches of df. start() is called once in each task and returns that function, which
     maps a batch to columns of the schema; nothing outlives a task, so that lost tasks can simply run again."""
@@ -82,7 +92,7 @@ def map_text(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.Record
             for part in sliced(batch):
                 made = each(part)
                 yield pa.RecordBatch.from_arrays([a if isinstance(a := made[f.name], pa.Array) else pa.array(a, type=f.type, from_pandas=False) for f in arrow], schema=arrow)
-        pa.default_memory_pool().release_unused()  # the worker lives on, for other work
+        given_back()
 
     return df.mapInArrow(run, schema)
 

@@ -16,9 +16,6 @@ BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 IN_WORD = np.ones(256, bool)
 IN_WORD[[9, 10, 11, 12, 13, 32]] = False
 
-_powers: list[np.ndarray] = []
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits in which every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -26,11 +23,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (BASE, BASE_INVERSE)]
-    return _powers[0], _powers[1]
+#: Bytes hashed at once, so that what is computed stays in the processor's cache, and powers up to there.
+BLOCK = 1 << 18
+UP, DOWN = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(BLOCK, b, np.uint64)])) for b in (BASE, BASE_INVERSE))
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,10 +50,19 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     first[begin] = inside[begin]
     last[begin[1:] - 1] = inside[begin[1:] - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = powers(size)
-    total = np.zeros(size + 1, np.uint64)
-    np.cumsum(VALUES[data] * up[:size], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts]), np.searchsorted(starts, offsets)
+    sums = np.zeros(len(starts), np.uint64)
+    for at in range(0, size, BLOCK):
+        end = min(at + BLOCK, size)
+        total = np.zeros(end - at + 1, np.uint64)
+        np.cumsum(VALUES[data[at:end]] * UP[: end - at], out=total[1:])
+        here = slice(np.searchsorted(ends, at, side="right"), np.searchsorted(starts, end))
+        a, b = starts[here], np.minimum(ends[here], end) - at
+        from_ = np.maximum(a, at) - at
+        part = (total[b] - total[from_]) * DOWN[from_]
+        if len(a) and a[0] < at:  # goes on from the block before
+            part[:1] *= np.uint64(pow(int(BASE), int(at - a[0]), 1 << 64))
+        sums[here] += part
+    return mix(sums), np.searchsorted(starts, offsets)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +91,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return found[keep], np.concatenate([[0], np.cumsum(keep)])[to]
 
 
-def runs(offsets: np.ndarray, most: int = 1 << 18):
+def runs(offsets: np.ndarray, most: int = BLOCK):
     """Ranges of rows of about `most` bytes, so that what is computed at once stays in the processor's cache."""
     row, rows = 0, len(offsets) - 1
     while row < rows:

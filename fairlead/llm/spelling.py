@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlead.llm.shared import dealt_afresh, map_text, sliced, written
+from fairlead.llm.shared import dealt_afresh, given_back, map_text, sliced, written
 from fairlead.llm.shingles import BASE, BASE_INVERSE, VALUES, mix
 
 #: Words are runs of the letters a-z and À-ÿ; every 199th loses a letter.
@@ -128,6 +128,7 @@ def vocabulary(docs: DataFrame, least_length: int = 6, least_count: int = 5, id:
                 if len(counts.words) > MOST_WORDS:
                     yield from counts.given()
         yield from counts.given()
+        given_back()
 
     counted = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(run, "word string, n long")
     words = counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count).where(F.length("word") >= least_length)

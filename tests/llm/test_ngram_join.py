@@ -1,10 +1,11 @@
 import random
 
 import brute
+import pyarrow as pa
 import pytest
 from conftest_llm import documents_of
 
-from fairlead.llm import ngram_join, queries
+from fairlead.llm import ngram_join, queries, shingles
 from fairlead.llm.components import components
 
 
@@ -60,3 +61,15 @@ def test_components(spark):
     want = brute.joined({x for e in edges if e[0] != e[1] for x in e}, edges[:-1])
     assert {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_words_over_several_blocks(monkeypatch):
+    """Hashes do not depend on where blocks of bytes end, and a long text leaves nothing behind."""
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcé") for _ in range(rng.randrange(1, 40))) for _ in range(rng.randrange(30))) for _ in range(50)] + ["x" * 5000, "", None]
+    data, offsets = shingles.bytes_of(pa.array(texts))
+    want = shingles.words_of(data, offsets)
+    for block in (1, 7, 64, 1000):
+        monkeypatch.setattr(shingles, "BLOCK", block)
+        for a, b in zip(shingles.words_of(data, offsets), want):
+            assert (a == b).all()
