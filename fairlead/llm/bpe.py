@@ -8,7 +8,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 import regex
@@ -110,14 +110,39 @@ def merge_all(ids: list[int], ranks: dict[tuple[int, int], int]) -> list[int]:
     return [i for i in ids if i >= 0]
 
 
+class Words(dict):
+    """What is known of pieces. Two generations: when the young one is full it becomes the old one, and what is asked for
+    again comes back, so that frequent pieces stay and others go. At most 2 * most of them are held."""
+
+    def __init__(self, encode, most: int):
+        super().__init__()
+        self.encode, self.most, self.old = encode, most, {}
+
+    def __missing__(self, piece: str) -> tuple[list[int], str, bytes]:
+        found = self.old.get(piece) or self.encode(piece)
+        if len(piece) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
+
+
+#: Where no piece goes on: between a character and white space behind it, as pieces hold white space at their start only.
+CUT = regex.compile(r"(?<=\S)(?=\s)")
+
+
 class Encoder:
-    """Text to ids. Pieces of the split pattern are encoded one by one; short ones are remembered, at most `most_words`
-    of them. A piece of any length runs through `stream`, whose buffer never exceeds `block` plus the lookahead."""
+    """The transducer from text to ids: text comes in blocks, ids leave in lists as soon as nothing that follows can
+    change them, and what is held back does not grow. The end of a piece of the split pattern settles its ids; in a piece
+    longer than `block` bytes, which runs through `stream`, the lookahead of the merge list does. Short pieces are
+    remembered, about `most_words` of them."""
 
-    def __init__(self, vocabulary: Vocabulary, most_words: int = 120_000, block: int = 4096):
-        self.v, self.most_words, self.block = vocabulary, most_words, block
+    def __init__(self, vocabulary: Vocabulary, most_words: int = 60_000, block: int = 4096):
+        self.v, self.block = vocabulary, block
         self.ahead = vocabulary.lookahead()
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.decimal = [str(i) for i in range(max(vocabulary.parts) + 1)]
+        self.known = Words(lambda piece: self.given(self.word(piece)), most_words)
         self.split = regex.compile(PATTERN).findall
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True)) or r"(?!)")
 
@@ -140,33 +165,48 @@ class Encoder:
                 del waiting[:size]
         yield from merge_all([self.v.of_byte[b] for b in waiting], self.v.ranks)
 
-    def word(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
-        of_byte, step = self.v.of_byte, self.block
-        if len(data) > step:
-            return tuple(self.stream(data[i:i + step] for i in range(0, len(data), step)))
-        ids = tuple(merge_all([of_byte[b] for b in data], self.v.ranks))
-        if len(piece) <= 64:
-            if len(self.known) >= self.most_words:
-                self.known.clear()
-            self.known[piece] = ids
-        return ids
-
-    def plain(self, text: str) -> Iterator[tuple[int, ...]]:
-        known, word = self.known, self.word
-        for piece in self.split(text):
-            yield known.get(piece) or word(piece)
+    def word(self, piece: str) -> Iterable[int]:
+        if len(piece) * 4 <= self.block or len(data := piece.encode()) <= self.block:
+            return merge_all([self.v.of_byte[b] for b in piece.encode()], self.v.ranks)
+        return self.stream(data[i:i + self.block] for i in range(0, len(data), self.block))
+
+    def given(self, ids: Iterable[int]) -> tuple[list[int], str, bytes]:
+        """Ids, their decimal text, and the bytes that they stand for."""
+        ids = list(ids)
+        return ids, ",".join([self.decimal[i] for i in ids]), b"".join([self.v.parts[i] for i in ids])
+
+    def pieces(self, text: str, start: int, end: int) -> Iterator[list[tuple[list[int], str, bytes]]]:
+        """What text[start:end] gives, block by block; blocks end where pieces do."""
+        known, step = self.known, 16 * self.block
+        while start < end:
+            cut = CUT.search(text, min(start + step, end), end)
+            stop = cut.start() if cut else end
+            some = self.split(text, start, stop)
+            if stop - start <= 2 * step:
+                yield list(map(known.__getitem__, some))
+            else:
+                for piece in some:
+                    ids = iter(self.word(piece))
+                    while part := list(islice(ids, self.block)):
+                        yield [self.given(part)]
+            start = stop
+
+    def blocks(self, text: str) -> Iterator[list[tuple[list[int], str, bytes]]]:
+        """What a text gives, in lists of bounded length."""
+        done = 0
+        if any(s in text for s in self.v.special):
+            for m in self.special.finditer(text):
+                yield from self.pieces(text, done, m.start())
+                yield [self.given([self.v.special[m[0]]])]
+                done = m.end()
+        yield from self.pieces(text, done, len(text))
+
+    def ids_of(self, text: str) -> Iterator[list[int]]:
+        for some in self.blocks(text):
+            yield [i for ids, _, _ in some for i in ids]
 
     def encode(self, text: str) -> list[int]:
-        if not any(s in text for s in self.v.special):
-            return list(chain.from_iterable(self.plain(text)))
-        ids, done = [], 0
-        for m in self.special.finditer(text):
-            ids.extend(chain.from_iterable(self.plain(text[done:m.start()])))
-            ids.append(self.v.special[m[0]])
-            done = m.end()
-        ids.extend(chain.from_iterable(self.plain(text[done:])))
-        return ids
+        return list(chain.from_iterable(self.ids_of(text)))
 
 
 class TextState:
@@ -202,26 +242,46 @@ class TextState:
         return "".join(out)
 
 
-def decode(ids: list[int], parts: dict[int, bytes], block: int = 65_536) -> Iterator[str]:
-    """The text of ids in parts; ids outside the vocabulary stand for nothing."""
+def decode(ids: Iterable[list[int]], parts: dict[int, bytes]) -> Iterator[str]:
+    """The text of lists of ids, list by list; ids outside the vocabulary stand for nothing."""
     state = TextState()
-    for i in range(0, len(ids), block):
-        yield state.feed(b"".join([parts.get(x, b"") for x in ids[i:i + block]]))
+    for some in ids:
+        yield state.feed(b"".join([parts.get(x, b"") for x in some]))
     yield state.feed(b"", last=True)
 
 
-_loaded: dict[str, tuple[Vocabulary, dict[int, str]]] = {}
+_loaded: dict[str, Vocabulary] = {}
 
 
-def loaded(path: str) -> tuple[Vocabulary, dict[int, str]]:
-    """Vocabulary and the decimal text of each id; read once in each worker. The words an encoder remembers are not kept
-    here: they go with the task, as other work follows in the same worker."""
+def loaded(path: str) -> Vocabulary:
+    """The vocabulary, read once in each worker. The words an encoder remembers are not kept here: they go with the task,
+    as other work follows in the same worker."""
     if path not in _loaded:
-        v = Vocabulary.load(path)
-        _loaded[path] = v, {i: str(i) for i in v.parts}
+        _loaded[path] = Vocabulary.load(path)
     return _loaded[path]
 
 
+def told_of(encoder: Encoder, text: str, keep: bool = False) -> tuple[int, str, str, bool, list[int] | None]:
+    """Number of ids, digests of ids and of the text decoded from them, whether this is the text again, and with `keep`
+    the ids. Encoder, decoder and digests go forward together, block by block."""
+    ids, again, state = hashlib.sha256(), hashlib.sha256(), TextState()
+    n, at, same, kept = 0, 0, True, []
+    for some in encoder.blocks(text):
+        decimal = ",".join([d for _, d, _ in some])
+        if decimal:
+            ids.update(("," + decimal if n else decimal).encode())
+            n += decimal.count(",") + 1
+        back = state.feed(b"".join([data for _, _, data in some]))
+        same = same and text.startswith(back, at)
+        at += len(back)
+        again.update(back.encode())
+        if keep:
+            kept += [i for part, _, _ in some for i in part]
+    rest = state.feed(b"", last=True)
+    again.update(rest.encode())
+    return n, ids.hexdigest(), again.hexdigest(), same and at == len(text) and not rest, kept if keep else None
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = False) -> DataFrame:
     """One row per row of docs: the kept columns, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 (the
     text decoded from the ids, UTF-8), round_trip (whether it is the text again), and with `ids` also the ids.
@@ -232,22 +292,12 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep:
     slim = docs.select(*keep, docs[text].alias("_text"))
 
     def start():
-        v, decimal = loaded(vocabulary)
-        encoder = Encoder(v)
+        encoder = Encoder(loaded(vocabulary))
 
         def each(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "ids")}
-            for t in batch.column("_text").to_pylist():
-                t = t or ""
-                found = encoder.encode(t)
-                again = "".join(decode(found, v.parts))
-                out["n_tokens"].append(len(found))
-                out["ids_sha256"].append(hashlib.sha256(",".join([decimal[i] for i in found]).encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(again.encode()).hexdigest())
-                out["round_trip"].append(again == t)
-                if ids:
-                    out["ids"].append(found)
-            return {k: batch.column(k) for k in keep} | out
+            told = [told_of(encoder, t.as_py() or "", ids) for t in batch.column("_text")]
+            names = ("n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "ids")
+            return {k: batch.column(k) for k in keep} | {c: [row[k] for row in told] for k, c in enumerate(names)}
 
         return each
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import brute
 import pytest
@@ -29,7 +30,7 @@ def test_same_as_the_library(both, block):
     for text in random_texts(random.Random(block), 250):
         ids = library.encode(text, add_special_tokens=False).ids
         assert encoder.encode(text) == ids
-        assert "".join(bpe.decode(ids, v.parts, 3)) == library.decode(ids, skip_special_tokens=False) == text
+        assert "".join(bpe.decode([ids[i:i + 3] for i in range(0, len(ids), 3)], v.parts)) == library.decode(ids, skip_special_tokens=False) == text
 
 
 def test_stream_holds_a_bounded_rest(both):
@@ -65,6 +66,33 @@ def test_decoder_is_lossy_like_utf8(both):
         assert "".join([*out, state.feed(b"", last=True)]) == data.decode("utf-8", "replace")
 
 
+def test_every_text_goes_through_in_blocks(both):
+    """Ids of a text leave in lists of bounded length, words are forgotten, and no list or cache grows with the text."""
+    v, library = both
+    encoder, rng = bpe.Encoder(v, most_words=100, block=64), random.Random(9)
+    text = "".join(rng.choice(["the ", "x" * 5000, "\u65e5\u672c", " \n ", "word%d " % rng.randrange(500)]) for _ in range(3000)) + "y" * 40_000 + "<|endoftext|>z"
+    lists = list(encoder.ids_of(text))
+    assert [i for some in lists for i in some] == library.encode(text, add_special_tokens=False).ids
+    assert len(lists) > 100 and max(map(len, lists)) <= 32 * 64 and len(encoder.known) + len(encoder.known.old) <= 200
+    n, ids, again, same, _ = bpe.told_of(encoder, text)
+    assert n == sum(map(len, lists)) and same and again == brute.sha(text)
+
+
+@pytest.mark.parametrize("unit", ["the word and ", "a", "\u65e5"])
+def test_memory_does_not_follow_the_text(both, unit):
+    v, _ = both
+    encoder = bpe.Encoder(v)
+    most = []
+    for size in (50_000, 500_000):
+        text = unit * (size // len(unit))
+        tracemalloc.start()
+        assert bpe.told_of(encoder, text)[3]
+        most.append(tracemalloc.get_traced_memory()[1] / len(text.encode()) * size)
+        tracemalloc.stop()
+    # A piece without any white space in it is held as text, and as bytes: a few times its own size, and no ids.
+    assert most[1] < (2 * most[0] if " " in unit else 12 * 500_000 * len(unit.encode()))
+
+
 def check(library, docs, told):
     want = []
     for r in docs:
