@@ -133,6 +133,41 @@ def page(rows: DataFrame, order: list[Column], limit: int = 20, offset: int = 0)
     return rows.orderBy(*order).offset(offset).limit(size)
 
 
+def _forward(c: Column | str) -> Column:
+    """Ascending with nulls last, as a struct that compares so."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.struct(c.isNull().alias("none"), c.alias("value"))
+
+
+def page_key(bucket: str, sort: str) -> Column:
+    """One value per row that ascends in the order of feed_order: what a cursor remembers."""
+    newest, last = _forward(-F.unix_micros("created_at")).alias("newest"), F.col("listing_id").alias("id")
+    if bucket == "closing_soon":
+        return F.struct(F.unix_micros("deadline").alias("first"), newest, last)
+    rank, trust = _forward("rank_position"), trust_tiebreak().alias("trust")
+    if sort == "deadline":
+        return F.struct(_forward(F.unix_micros("deadline")).alias("first"), rank.alias("rank"), trust, newest, last)
+    return F.struct(rank.alias("first"), _forward(-F.col("fit_score").cast("double")).alias("fit"), trust, newest, last)
+
+
+def page_after(rows: DataFrame, bucket: str, sort: str, after: str | None = None, limit: int = 20) -> DataFrame:
+    """The page behind a cursor (`cursor` of the last row of the page before; none for the first page), each row with its
+    own. What comes before is filtered away instead of sorted and skipped; on the rank or deadline that leads the order
+    there is a plain filter besides, which reaches the source."""
+    keyed = rows.withColumn("_key", page_key(bucket, sort))
+    if after is not None:
+        there = F.from_json(F.lit(after), keyed.schema["_key"].dataType)
+        keyed = keyed.filter(F.col("_key") > there)
+        if bucket == "closing_soon":
+            keyed = keyed.filter(F.col("deadline") >= F.timestamp_micros(there["first"]))
+        else:
+            lead = F.col("deadline") if sort == "deadline" else F.col("rank_position")
+            least = F.timestamp_micros(there["first"]["value"]) if sort == "deadline" else there["first"]["value"]
+            keyed = keyed.filter(lead.isNull() | (lead >= least) | least.isNull())
+    size = max(1, min(limit, 100))
+    return keyed.orderBy("_key").limit(size).withColumn("cursor", F.to_json("_key", {"ignoreNullFields": "false"})).drop("_key")
+
+
 def page_info(rows: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
     size = max(1, min(limit, 100))
     total = F.count("*")

@@ -42,6 +42,8 @@ fq("f06_passes_eligibility", """SELECT listing_id FROM listings WHERE NOT contai
   AND NOT contains(lower(concat_ws(' ', title, coalesce(summary, ''), coalesce(institution, ''))), 'unpaid') AND coalesce(funding_type, '') NOT IN ('partial', 'self')""", "listings")
 fq("f07_page_info", ROWS + f""", t AS (SELECT count(*) AS total FROM rows_ WHERE {SEEN} AND deadline <= {AS_OF_SQL} + INTERVAL 14 DAY)
 SELECT total, greatest(0, least(20, total - 40)) AS shown, CASE WHEN 40 + greatest(0, least(20, total - 40)) < total THEN CAST(40 + greatest(0, least(20, total - 40)) AS VARCHAR) END AS next_cursor FROM t""")
+fq("f07_keyset_page", ROWS + f"""
+SELECT listing_id, rank_position FROM rows_ WHERE {SEEN} ORDER BY rank_position NULLS LAST, fit_score DESC NULLS LAST, {TIE}, created_at DESC, listing_id LIMIT 7 OFFSET 14""")
 fq("f08_unknown_deadline_count", ROWS + f" SELECT count(*) AS unknown_deadlines FROM rows_ WHERE {PUSH} AND {SEEN} AND deadline IS NULL")
 FEED = f""", feed AS (SELECT l.*, f.user_id, f.status, f.fit_score FROM listings l JOIN feedback f USING (listing_id) WHERE {VISIBLE} AND (deadline IS NULL OR deadline >= {AS_OF_SQL}))"""
 fq("f09_grouped_feed", FEED + " SELECT user_id, listing_id, CASE opportunity_type WHEN 'scholarship' THEN 'scholarships' WHEN 'fellowship' THEN 'fellowships' ELSE 'other' END AS section FROM feed")

@@ -64,6 +64,17 @@ def f07(b: Bindings):
     return P.page_info(rows, limit=20, offset=40)
 
 
+@query("f07_keyset_page")
+def f07k(b: Bindings):
+    """The third page of the user's matches: two cursors further on."""
+    rows = P.bucket_filter(P.selected(b.listings, b.feedback, USER, now()), "matches", now())
+    after = None
+    for _ in range(2):
+        last = P.page_after(rows, "matches", "fit", after, 7).agg(F.max_by("cursor", P.page_key("matches", "fit"))).first()[0]
+        after = last or after
+    return P.page_after(rows, "matches", "fit", after, 7).select("listing_id", "rank_position")
+
+
 @query("f08_unknown_deadline_count")
 def f08(b: Bindings):
     return P.unknown_deadline_count(b.listings, b.feedback, USER, now(), rules=RULES)
