@@ -25,10 +25,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id, and of rows with that id the first by
-    text. Documents without any word are in no group and stay; so do rows without an id, which no link can name."""
-    found = ngram_join.similar_components(docs)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(stay, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d")).select("doc_id", "d.*")
+    text. A document is an id with a text (rows that share only the id are not linked by that), told apart by a hash of
+    both. Documents without any word are in no group and stay; so do rows without an id, which no link can name."""
+    key = F.xxhash64("doc_id", "text")
+    named = docs.where("doc_id IS NOT NULL").select("doc_id", "text", key.alias("key"))
+    found = ngram_join.similar_components(named, id="key").withColumnRenamed("doc_id", "key").distinct()
+    first = found.join(named.select("key", "doc_id", F.md5("text").alias("digest")).distinct(), "key")
+    stay = first.groupBy("component_id").agg(F.min(F.struct("doc_id", "digest", "key")).alias("one")).select("one.key")
+    kept = docs.where("doc_id IS NOT NULL").withColumn("key", key).join(stay, "key", "left_semi")
+    one = kept.groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("d")).select("d.*")
     return one.union(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
