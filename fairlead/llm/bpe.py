@@ -143,7 +143,7 @@ class Encoder:
         self.ahead = vocabulary.lookahead()
         self.decimal = [str(i) for i in range(max(vocabulary.parts) + 1)]
         self.known = Words(lambda piece: self.given(self.word(piece)), most_words)
-        self.split = regex.compile(PATTERN).findall
+        self.split, self.find = regex.compile(PATTERN).findall, regex.compile(PATTERN).finditer
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True)) or r"(?!)")
 
     def stream(self, data: Iterable[bytes]) -> Iterator[int]:
@@ -181,14 +181,20 @@ class Encoder:
         while start < end:
             cut = CUT.search(text, min(start + step, end), end)
             stop = cut.start() if cut else end
-            some = self.split(text, start, stop)
             if stop - start <= 2 * step:
-                yield list(map(known.__getitem__, some))
-            else:
-                for piece in some:
-                    ids = iter(self.word(piece))
+                yield list(map(known.__getitem__, self.split(text, start, stop)))
+            else:  # long without white space: pieces one after the other, and parts of long ones
+                held = []
+                for m in self.find(text, start, stop):
+                    if len(m[0]) <= 64:
+                        held.append(known[m[0]])
+                    if len(m[0]) > 64 or len(held) >= self.block:
+                        yield held
+                        held = []
+                    ids = iter(self.word(m[0]) if len(m[0]) > 64 else ())
                     while part := list(islice(ids, self.block)):
                         yield [self.given(part)]
+                yield held
             start = stop
 
     def blocks(self, text: str) -> Iterator[list[tuple[list[int], str, bytes]]]:
