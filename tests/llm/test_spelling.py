@@ -109,12 +109,12 @@ def test_filters_hold_every_word_in_rounds_of_bounded_size(spark):
     hashes = np.array([spelling.hash_of(w.encode()) for w in words], np.uint64)
     table = written(spark.createDataFrame([(w, 5, len(w), int(h)) for w, h in zip(words, hashes.view(np.int64))], "word string, n long, size int, h long"))
     held = Counter(map(len, words))
-    rounds, parts = spelling.rounds_of(dict(held), 2048)
+    rounds, parts = spelling.rounds_of(dict(held), 1024)
     assert len(rounds) > 1 and max(parts.values()) > 1
     seen = np.zeros(len(words), int)
     for shards in rounds:
         filters = spelling.filters_of(table, shards, parts)
-        assert filters.data.nbytes <= 32768 and sum(b for _, b in shards.values()) * 8 <= 2048
+        assert filters.data.nbytes <= 32768 and sum(b for _, b in shards.values()) * 8 <= 1024
         for size in held:
             some = [k for k, w in enumerate(words) if len(w) == size]
             seen[some] += filters.holds(hashes[some], size)
