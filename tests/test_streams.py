@@ -118,3 +118,26 @@ def test_run_metrics(spark, tables, tmp_path):
     out = J.drain_to_table(J.stream_run_metrics(J.open_stream(spark, str(tmp_path / "in"), "*.parquet", 1)), "t-metrics", "update")
     keys = ["source_id", "verdict", "window_start"]
     assert _rows(J.last_update(out, keys, ["n"]).select(*keys, "n")) == _rows(J.run_metrics_batch(ev).select(*keys, "n"))
+
+
+def test_state_store_of_a_plain_session(spark, tables, tmp_path):
+    before = spark.conf.get(J.PROVIDER)
+    plain = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(J.PROVIDER, plain)
+    try:
+        runs = tables.runs.select("source_id", "run_id", "finished_at", "status")
+        runs.repartition(3).write.parquet(str(tmp_path / "runs.parquet"))
+        out = J.drain_to_table(J.stream_source_health(J.open_table(spark, str(tmp_path / "runs.parquet"))), "t-plain", "update")
+        assert spark.conf.get(J.PROVIDER) == plain
+    finally:
+        spark.conf.set(J.PROVIDER, before)
+    cols = ["source_id", "consecutive_failures", "deactivate"]
+    assert _rows(J.last_rows(out, ["source_id"]).select(*cols)) == _rows(failure_streaks(runs).select(*cols))
+
+
+def test_tables_in_one_file_or_in_many(spark, tables, tmp_path):
+    docs, many = tables.documents.select("doc_id", "lang"), str(tmp_path / "documents.parquet")
+    docs.repartition(3).write.parquet(many)
+    for path in (many, f"{tables.sf_dir}/documents.parquet"):
+        got = J.drain_to_table(J.open_table(spark, path).select("doc_id", "lang"), "t-table").drop("batch")
+        assert _rows(got) == _rows(docs)
