@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from fairlead.functions.similarity import may_reach, ratio
 from fairlead.session import cut_lineage
 
-#: Positions that share a bucket of the segment index.
-NEARBY = 16
+#: Characters counted one by one, frequent ones first, eight to a word; all others count together in the last place.
+COUNTED = " etaoinsrhldcumpfgbywvk"
+#: Parts that the titles of one length are dealt into.
+DEALT = 16
 
 
 def _numbered(titles: DataFrame) -> DataFrame:
@@ -18,45 +20,51 @@ def _numbered(titles: DataFrame) -> DataFrame:
     return cut_lineage(found.withColumn("tid", F.monotonically_increasing_id())).withColumn("n", F.length("t"))
 
 
-def _segments(titles: DataFrame, miss: float) -> DataFrame:
-    """The titles cut into one segment more than a similar title can have differences, by bucket of where a segment may be
-    found again: every difference spoils one segment at most, so one stands in both, moved by no more than all of them."""
-    longest = F.floor(F.col("n") * (1 + miss) / (1 - miss) + 1e-9)
-    cut = titles.withColumn("k", F.floor(miss * (F.col("n") + longest) + 1e-9).cast("int")).withColumn("w", F.expr("CAST(n div (k + 1) AS INT)"))
-    places = cut.select("tid", "n", "t", "w", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i")).withColumn("p", F.col("i") * F.col("w"))
-    spots = F.sequence(F.expr(f"greatest(p - k, 0) div {NEARBY}"), F.expr(f"(p + k) div {NEARBY}"))
-    return places.select("tid", "n", "w", "k", "p", F.expr("substring(t, p + 1, w)").alias("gram"), F.explode(spots).alias("spot"))
+def _counted(titles: DataFrame) -> DataFrame:
+    """The titles with their counts of characters, a byte each (255 for more), eight in each of h0, h1 and h2. Two titles
+    differ in these counts by no more in all than they have characters that are not shared in order."""
+    each = [F.col("n") - F.length(F.replace(F.col("t"), F.lit(c))) for c in COUNTED]
+    rest = F.length(F.translate(F.col("t"), COUNTED, ""))
+    bytes_ = [F.least(c, F.lit(255)).cast("bigint") for c in [*each, rest]]
 
+    def word(eight: list[Column]) -> Column:
+        out = F.lit(0).cast("bigint")
+        for i, c in enumerate(eight):
+            out = out.bitwiseOR(F.shiftleft(c, 8 * i))
+        return out
 
-def _grams(titles: DataFrame, widths: list[int]) -> DataFrame:
-    """Every run of these widths in the titles, by bucket."""
-    found = None
-    for w in widths:
-        places = titles.filter(F.col("n") >= w).select("tid", "n", "t", F.explode(F.sequence(F.lit(0), F.col("n") - w)).alias("p"))
-        one = places.select("tid", "n", F.lit(w).alias("w"), F.expr(f"substring(t, p + 1, {w})").alias("gram"), F.expr(f"p div {NEARBY}").alias("spot"), "p")
-        found = one if found is None else found.union(one)
-    return found
+    return titles.select("tid", "n", *[word(bytes_[8 * k:8 * k + 8]).alias(f"h{k}") for k in range(len(bytes_) // 8)])
+
+
+def _apart(a: str, b: str) -> Column:
+    """By how much two words of counts differ."""
+    def one(c: str, i: int) -> Column:
+        return F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(255).cast("bigint"))
+
+    out = F.abs(one(a, 0) - one(b, 0))
+    for i in range(1, 8):
+        out = out + F.abs(one(a, i) - one(b, i))
+    return out
 
 
 def similar_titles(left: DataFrame, right: DataFrame, min_ratio: float, above: bool = False) -> DataFrame:
     """(lt, rt, ratio) for all pairs of distinct titles (columns t) with at least this ratio, or more than it if `above`.
 
-    A segment index finds candidates without loss; they are distinct pairs of ids. Edit distance on the JVM removes nearly
-    all the rest, and the exact ratio runs in Arrow batches on what is left. Null and empty titles are similar to none;
-    ratios have to be over 50, below which a segment would have no character."""
+    Titles meet by length: one goes to every length that a similar title can have, the other to its own, dealt out so that
+    no length is one task's. What meets is numbers only, and a pair leaves the join only if the counts of its characters
+    allow the ratio, which loses none and leaves about one of ten thousand. Edit distance on the JVM and the exact ratio
+    in Arrow batches decide on these. Null and empty titles are similar to none; ratios have to be over 50."""
     if not 50 < min_ratio <= 100:
         raise ValueError("min_ratio has to be over 50")
     miss = 1 - min_ratio / 100.0
     a, b = _numbered(left.filter(F.col("t") != "")), _numbered(right.filter(F.col("t") != ""))
-    segments = _segments(a, miss)
-    widths = sorted(r["w"] for r in segments.select("w").distinct().collect())  # a handful: title length over differences
-    none = a.select(F.col("t").alias("lt"), F.col("t").alias("rt"), F.lit(100.0).alias("ratio")).limit(0)
-    if not widths:
-        return none
-    x, y = segments.alias("x"), _grams(b, widths).alias("y")
-    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.w") == F.col("y.w")) & (F.col("x.spot") == F.col("y.spot")))
-    met = met.filter((F.abs(F.col("x.p") - F.col("y.p")) <= F.col("x.k")) & (F.abs(F.col("x.n") - F.col("y.n")) <= F.floor(miss * (F.col("x.n") + F.col("y.n")) + 1e-9)))
-    pairs = met.select(F.col("x.tid").alias("l"), F.col("y.tid").alias("r")).distinct()
+    lengths = F.sequence(F.ceil(F.col("n") * (1 - miss) / (1 + miss) - 1e-9), F.floor(F.col("n") * (1 + miss) / (1 - miss) + 1e-9)).cast("array<int>")
+    x = _counted(a).withColumn("m", F.explode(lengths)).withColumn("part", F.pmod(F.xxhash64("tid"), F.lit(DEALT)).cast("int")).alias("x")
+    y = _counted(b).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))).alias("y")
+    room = F.floor(miss * (F.col("x.n") + F.col("y.n")) + 1e-9)
+    words = [_apart(f"x.h{k}", f"y.h{k}") for k in range((len(COUNTED) + 1) // 8)]
+    met = x.join(y, (F.col("x.m") == F.col("y.n")) & (F.col("x.part") == F.col("y.part")) & (words[0] <= room) & (sum(words[1:], words[0]) <= room))
+    pairs = met.select(F.col("x.tid").alias("l"), F.col("y.tid").alias("r"))
     named = pairs.join(a.select(F.col("tid").alias("l"), F.col("t").alias("lt")), "l").join(b.select(F.col("tid").alias("r"), F.col("t").alias("rt")), "r")
     close = named.filter(may_reach(F.col("lt"), F.col("rt"), min_ratio)).select("lt", "rt")
     rated = close.withColumn("ratio", ratio(F.col("lt"), F.col("rt")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fairlead.functions.similarity import indel_ratio
 from fairlead.operators import resolve as X
-from fairlead.operators.titles import first_comers, similar_titles
+from fairlead.operators.titles import _apart, _counted, _numbered, first_comers, similar_titles
 
 
 def some_titles(rnd, n):
@@ -38,6 +38,19 @@ def test_similarity_join_above_and_empty(spark):
     assert similar_titles(two.limit(0), two, 92.0).collect() == similar_titles(two, two.limit(0), 92.0).collect() == []
 
 
+def test_common_words_bring_no_titles_together(spark):
+    """Titles that share words but not their characters are told apart by numbers, before any text is looked at."""
+    rnd = random.Random(3)
+    rows = ["masters programme in germany " + "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) for _ in range(300)]
+    rows += ["\U0001f600" * 300 + "é" * 290, "\U0001f600" * 290 + "é" * 300, "e" * 300 + "é", "e" * 310, rows[0][:-1]]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    got = similar_titles(df, df, 92.0)
+    assert {(r["lt"], r["rt"]) for r in got.collect()} == {(a, b) for a in rows for b in rows if indel_ratio(a, b) >= 92.0}
+    counts = _counted(_numbered(df))
+    met = counts.alias("x").join(counts.alias("y"), sum(_apart(f"x.h{k}", f"y.h{k}") for k in range(3)) <= 14)
+    assert met.count() <= 2 * len(rows)
+
+
 def one_by_one(batch, listings, percent=92.0):
     """Rows (item, source, pos, title, institution, hash) against listings (id, source, title, institution, seen, duplicate, hash)."""
     where = lambda inst, title: f"{inst or ''}\n{title or ''}".lower()
