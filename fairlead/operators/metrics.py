@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fairlead.operators.gate import with_verdict
 
 DEACTIVATE_AT = 5
 
@@ -136,7 +137,7 @@ def confirmed_totals(listings: DataFrame) -> DataFrame:
 
 def rejections(decisions: DataFrame, stage: str = "discover") -> DataFrame:
     """Reject log rows with the widths of the log table."""
-    return decisions.filter(F.col("verdict") == "reject").select(
+    return with_verdict(decisions, "reject").select(
         "source_id", "listing_id", F.lit("relevance").alias("stage"), F.substring(F.concat(F.lit(stage + ":"), "reason"), 1, 255).alias("reason"), "url",
         F.substring("title", 1, 500).alias("title"), F.substring(F.coalesce("summary", F.lit("")), 1, 500).alias("snippet"))
 

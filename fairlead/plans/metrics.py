@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fairlead.bindings import Bindings
 from fairlead.operators import gate as G
 from fairlead.operators import metrics as M
-from fairlead.plans.gate import decisions
+from fairlead.plans.gate import LANE_COLUMNS, decisions
 from fairlead.plans.registry import query
 
 
@@ -24,7 +24,7 @@ def m01(b: Bindings):
 
 @query("m02_run_stats")
 def m02(b: Bindings):
-    lanes = G.triage(decisions(b)).withColumns({
+    lanes = G.triage(decisions(b).select(*LANE_COLUMNS)).withColumns({
         "run_id": F.col("source_id"), "created": (F.col("lane") == "admitted") & (F.col("listing_id") % 2 == 0),
         "updated": (F.col("lane") == "admitted") & (F.col("listing_id") % 2 == 1), "error": (F.col("lane") == "investigate") & (F.col("listing_id") % 5 == 0)})
     return M.run_stats(lanes)
@@ -94,7 +94,7 @@ def s16(b: Bindings):
 
 @query("m11_rejection_breakdown")
 def m11(b: Bindings):
-    d = decisions(b).filter(F.col("verdict") == "reject").select(F.when(F.col("source_id") % 2 == 0, "discover").otherwise("post_extract").alias("stage"), "reason")
+    d = G.with_verdict(decisions(b), "reject").select(F.when(F.col("source_id") % 2 == 0, "discover").otherwise("post_extract").alias("stage"), "reason")
     return M.rejection_breakdown(d)
 
 

@@ -94,7 +94,7 @@ def ingested(batch: DataFrame, listings: DataFrame, as_of: Column, terms: G.Prof
 
     Admitted items get the facts that their text states, and are resolved by (source_id, pos): new ones and shadows are
     listings, the others update the listing they belong to, one that came in the same batch as well."""
-    passed = G.evaluate(batch.select("listing_id", "source_id", "url", "title", "summary", "source_regions"), terms).filter("verdict = 'admit'").select("listing_id")
+    passed = G.with_verdict(G.evaluate(batch.select("listing_id", "source_id", "url", "title", "summary", "source_regions"), terms), "admit").select("listing_id")
     facts = cut_lineage(backfill_facts(derive_facts(batch.join(passed, "listing_id", "left_semi"))).withColumnRenamed("listing_id", "item_id"))
     actions = cut_lineage(X.resolve_upsert(facts.select("item_id", "source_id", "pos", "title", "institution", "url_hash"), listings, min_ratio)
                           .select("item_id", "action", "target_id", "duplicate_of", "first_item", "shadow_of_item"))
