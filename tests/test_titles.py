@@ -1,5 +1,6 @@
 """The similarity join and batch resolution against plain loops that go row by row."""
 
+import hashlib
 import random
 
 import pytest
@@ -51,6 +52,19 @@ def test_common_words_bring_no_titles_together(spark):
     assert met.count() <= 2 * len(rows)
 
 
+def test_keys_in_titles_are_told_apart_by_their_digits(spark):
+    """Titles that differ by a hexadecimal key only: no more than two of a hundred pairs are looked at as texts."""
+    rows = ["unseen backlog title " + hashlib.md5(str(i).encode()).hexdigest() for i in range(300)]
+    rows += ["0" * n + "e" * 40 for n in (3, 15, 16, 17, 19, 20)]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    got = similar_titles(df, df, 90.0, above=True)
+    assert {(r["lt"], r["rt"]) for r in got.collect()} == {(a, b) for a in rows for b in rows if indel_ratio(a, b) > 90.0}
+    counts = _counted(_numbered(df.filter("length(t) = 53")))
+    words = [c for c in counts.columns if c.startswith("h")]
+    met = counts.alias("x").join(counts.alias("y"), sum(_apart(f"x.{h}", f"y.{h}") for h in words) <= 10)
+    assert met.count() <= 0.02 * 300 ** 2
+
+
 def one_by_one(batch, listings, percent=92.0):
     """Rows (item, source, pos, title, institution, hash) against listings (id, source, title, institution, seen, duplicate, hash)."""
     where = lambda inst, title: f"{inst or ''}\n{title or ''}".lower()
