@@ -58,6 +58,12 @@ class Vocabulary:
         parts |= {i: text.encode() for text, i in special.items()}
         return cls(ranks, parts, [ids[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])], special)
 
+    def by_rank(self) -> tuple[dict[tuple[int, int], int], list[int]]:
+        """The merge list once more, in numbers of one machine digit: a pair of ids to its place, and by place the id of
+        both together."""
+        order = sorted(self.ranks.items(), key=lambda x: x[1])
+        return {pair: place for place, (pair, _) in enumerate(order)}, [merge % WIDE for _, merge in order]
+
     def lookahead(self) -> int:
         """Bytes to the right of a token's end that can decide whether it stands.
 
@@ -110,6 +116,24 @@ def merge_all(ids: list[int], ranks: dict[tuple[int, int], int]) -> list[int]:
     return [i for i in ids if i >= 0]
 
 
+def merge_short(ids: list[int], places: dict[tuple[int, int], int], made: list[int]) -> list[int]:
+    """merge_all for a few ids, by Vocabulary.by_rank."""
+    get, none = places.get, len(made)
+    order = [get(pair, none) for pair in zip(ids, ids[1:])]
+    while order:
+        best = min(order)
+        if best == none:
+            break
+        at = order.index(best)
+        ids[at] = new = made[best]
+        del ids[at + 1], order[at]
+        if at < len(order):
+            order[at] = get((new, ids[at + 1]), none)
+        if at:
+            order[at - 1] = get((ids[at - 1], new), none)
+    return ids
+
+
 class Words(dict):
     """What is known of pieces. Two generations: when the young one is full it becomes the old one, and what is asked for
     again comes back, so that frequent pieces stay and others go. At most 2 * most of them are held."""
@@ -118,7 +142,7 @@ class Words(dict):
         super().__init__()
         self.encode, self.most, self.old = encode, most, {}
 
-    def __missing__(self, piece: str) -> tuple[list[int], str, bytes]:
+    def __missing__(self, piece: str) -> tuple[tuple[int, ...], str, bytes]:
         found = self.old.get(piece) or self.encode(piece)
         if len(piece) <= 64:
             if len(self) >= self.most:
@@ -138,9 +162,10 @@ class Encoder:
     longer than `block` bytes, which runs through `stream`, the lookahead of the merge list does. Short pieces are
     remembered, about `most_words` of them."""
 
-    def __init__(self, vocabulary: Vocabulary, most_words: int = 60_000, block: int = 4096):
+    def __init__(self, vocabulary: Vocabulary, most_words: int = 150_000, block: int = 4096):
         self.v, self.block = vocabulary, block
         self.ahead = vocabulary.lookahead()
+        self.places, self.made = vocabulary.by_rank()
         self.decimal = [str(i) for i in range(max(vocabulary.parts) + 1)]
         self.known = Words(lambda piece: self.given(self.word(piece)), most_words)
         self.split, self.find = regex.compile(PATTERN).findall, regex.compile(PATTERN).finditer
@@ -166,16 +191,18 @@ class Encoder:
         yield from merge_all([self.v.of_byte[b] for b in waiting], self.v.ranks)
 
     def word(self, piece: str) -> Iterable[int]:
+        if len(piece) <= 20 and len(piece) * 4 <= self.block:
+            return merge_short([self.v.of_byte[b] for b in piece.encode()], self.places, self.made)
         if len(piece) * 4 <= self.block or len(data := piece.encode()) <= self.block:
             return merge_all([self.v.of_byte[b] for b in piece.encode()], self.v.ranks)
         return self.stream(data[i:i + self.block] for i in range(0, len(data), self.block))
 
-    def given(self, ids: Iterable[int]) -> tuple[list[int], str, bytes]:
-        """Ids, their decimal text, and the bytes that they stand for."""
-        ids = list(ids)
+    def given(self, ids: Iterable[int]) -> tuple[tuple[int, ...], str, bytes]:
+        """Ids, their decimal text, and the bytes that they stand for: nothing that the garbage collector has to visit."""
+        ids = tuple(ids)
         return ids, ",".join([self.decimal[i] for i in ids]), b"".join([self.v.parts[i] for i in ids])
 
-    def pieces(self, text: str, start: int, end: int) -> Iterator[list[tuple[list[int], str, bytes]]]:
+    def pieces(self, text: str, start: int, end: int) -> Iterator[list[tuple[tuple[int, ...], str, bytes]]]:
         """What text[start:end] gives, block by block; blocks end where pieces do."""
         known, step = self.known, 16 * self.block
         while start < end:
@@ -197,7 +224,7 @@ class Encoder:
                 yield held
             start = stop
 
-    def blocks(self, text: str) -> Iterator[list[tuple[list[int], str, bytes]]]:
+    def blocks(self, text: str) -> Iterator[list[tuple[tuple[int, ...], str, bytes]]]:
         """What a text gives, in lists of bounded length."""
         done = 0
         if any(s in text for s in self.v.special):

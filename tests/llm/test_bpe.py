@@ -33,6 +33,20 @@ def test_same_as_the_library(both, block):
         assert "".join(bpe.decode([ids[i:i + 3] for i in range(0, len(ids), 3)], v.parts)) == library.decode(ids, skip_special_tokens=False) == text
 
 
+def test_many_rare_words_are_merged_once(both):
+    """As many different words as a task meets in a file: what comes again is remembered, and short merges are all merges."""
+    v, _ = both
+    encoder, calls = bpe.Encoder(v), []
+    word = encoder.word
+    encoder.known.encode = lambda piece: calls.append(piece) or (piece, "", b"")
+    words = [f" w{i}" for i in range(140_000)]
+    for piece in words + words:
+        encoder.known[piece]
+    assert len(calls) == len(words)
+    for piece in words[:3000] + PIECES:
+        assert word(piece) == bpe.merge_all([v.of_byte[b] for b in piece.encode()], v.ranks)
+
+
 def test_stream_holds_a_bounded_rest(both):
     v, _ = both
     encoder = bpe.Encoder(v, block=64)
