@@ -135,3 +135,22 @@ def test_terms_meet_first_and_last_words(spark):
     terms = ["grant", "research grant", "travel grant", "ph d", "up to", "research grants"]
     got = [r[0] for r in df.select(T.find_terms(F.col("t"), T.term_rules(terms))).collect()]
     assert got == [["grant", "travel grant", "ph d", "research grants"], [], ["up to"]]
+
+
+def test_texts_are_judged_where_they_are_read(spark):
+    """Items get the regions of their source without being dealt out by source, which would put all texts of one in a task."""
+    from conftest import SF
+    from fairlead.bindings import Bindings
+    from fairlead.plans.gate import items
+
+    plan = items(Bindings(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_normal_form_of_all_ascii_characters(spark):
+    """Texts of ASCII only take the same pattern as others."""
+    told = ["".join(map(chr, range(1, 128))), "".join(f"a{chr(c)}B" for c in range(1, 128)), "é" + "".join(f"a{chr(c)}B" for c in range(1, 128))]
+    got = spark.createDataFrame([(t,) for t in told], "t string").select(T.normalize_text("t").alias("n")).collect()
+    keep = "_$%.,/+-"
+    want = [" ".join("".join(c if c.isalnum() or c in keep else " " for c in t.lower().replace("é", "e")).split()) for t in told]
+    assert [r["n"] for r in got] == want
