@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fairlead.functions.similarity import indel_ratio
 from fairlead.operators import resolve as X
+from fairlead.operators import titles
 from fairlead.operators.titles import _apart, _counted, _numbered, first_comers, similar_titles
 
 
@@ -141,3 +142,41 @@ def test_a_third_of_a_batch_with_one_title(spark):
     rows = spark.range(3000).selectExpr("id", "id AS o", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('c', id) END AS c", "concat('h', id) AS h", "false AS barred")
     done = first_comers(rows, spark.createDataFrame([("c1", "hot"), ("hot", "c1")], "c string, d string"))
     assert done.filter("created").count() == 2000 and not done.filter("id = 1").first()["created"]
+
+
+def test_long_titles_meet_as_texts_only_if_they_may_be_similar(spark):
+    """Of titles whose characters occur over sixteen times, or in another order, hardly any pair is looked at as texts, and
+    no similar one is lost, with many titles of one length in several blocks too."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("etaoinsrhldcumpfgbywvk") for _ in range(rnd.randint(2, 7))) for _ in range(400)]
+    rows = [" ".join(rnd.choice(words) for _ in range(120))[:n] for n in (200, 499, 500) for _ in range(60)]
+    rows += [r[:k] + "q" + r[k:-1] for r in rows[::9] for k in (3, 90)] + [r[:50] + r[90:] for r in rows[::7]] + ["é" * n for n in range(480, 500, 3)]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    want = {(a, b) for a in rows for b in rows if indel_ratio(a, b) >= 92.0}
+    few, titles.BLOCK = titles.BLOCK, 20
+    try:
+        assert {(r["lt"], r["rt"]) for r in similar_titles(df, df, 92.0).collect()} == want and len(want) > 250
+    finally:
+        titles.BLOCK = few
+    numbered = _numbered(df).orderBy("tid").toArrow()
+    counted = _counted(spark.createDataFrame(numbered)).toArrow()
+    met = titles._may_be_similar(counted, counted, 0.08)
+    named = dict(zip(numbered.column("tid").to_pylist(), numbered.column("t").to_pylist()))
+    got = [(named[a], named[b]) for a, b in zip(met.column("l").to_pylist(), met.column("r").to_pylist())]
+    assert want <= set(got) and len(got) == len(set(got)) <= 1.2 * len(want) < 0.02 * len(rows) ** 2
+
+
+def test_chains_end_the_same_by_rounds_and_row_by_row(spark):
+    """Rows settled in rounds only, in one task only, and by both."""
+    rnd = random.Random(11)
+    rows = [(k, rnd.choice([1, 2, None]), k, t, rnd.choice([None, "Ocean Institute"]), f"h{rnd.randrange(60)}") for k, t in enumerate(some_titles(rnd, 120))]
+    batch = spark.createDataFrame(rows, "item_id long, source_id long, pos long, title string, institution string, url_hash string")
+    old = spark.createDataFrame([(900 + k, 1, t, None, None, None, f"o{k}") for k, t in enumerate(some_titles(rnd, 6))],
+                                "listing_id long, source_id long, title string, institution string, last_seen_at timestamp, duplicate_of long, url_hash string")
+    found, last = [], X.LAST
+    try:
+        for X.LAST in (-1, 10 ** 6, 60):
+            found.append(sorted(X.resolve_upsert(batch, old).select("item_id", "action", "target_id", "duplicate_of", "first_item", "shadow_of_item").collect()))
+    finally:
+        X.LAST = last
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows) and len({r["action"] for r in found[0]}) >= 4
