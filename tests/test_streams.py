@@ -141,3 +141,56 @@ def test_tables_in_one_file_or_in_many(spark, tables, tmp_path):
     for path in (many, f"{tables.sf_dir}/documents.parquet"):
         got = J.drain_to_table(J.open_table(spark, path).select("doc_id", "lang"), "t-table").drop("batch")
         assert _rows(got) == _rows(docs)
+
+
+class Held:
+    """A value state and its handle, counting the messages that a store would get."""
+
+    def __init__(self):
+        self.value, self.messages, self.timers = None, 0, []
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.messages += 1
+        return self.value
+
+    def update(self, value):
+        self.messages, self.value = self.messages + 1, value
+
+    def clear(self):
+        self.messages, self.value = self.messages + 1, None
+
+    def registerTimer(self, at):
+        self.messages += 1
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def test_a_user_costs_few_messages_however_many_listings_and_bursts():
+    """Hundreds of listings or bursts of a user: two or three messages a batch, and only touched listings are told."""
+    from pyspark.sql import Row
+
+    from fairlead.streaming.processors import Bursts, StatusHistory
+
+    state, history = Held(), StatusHistory(3)
+    history.init(state)
+    rows = [Row(listing_id=k % 200, event_id=k, at=k, status=["saved", "new"][k // 200 % 2], dismiss_reason=None) for k in range(1000)]
+    first = list(history.handleInputRows((7,), iter(rows[:999]), None))
+    assert state.messages == 2 and len(first) == 600
+    again = list(history.handleInputRows((7,), iter([Row(listing_id=5, event_id=2000, at=2000, status="new", dismiss_reason="late"), rows[999]]), None))
+    assert state.messages == 4 and [(r.listing_id, r.event_id, r.from_status, r.to_status) for r in again] == [
+        (199, 599, "new", "saved"), (199, 799, "saved", "new"), (199, 999, "new", "saved"), (5, 605, "saved", "new"), (5, 805, "new", "saved"), (5, 2000, "saved", "new")]
+
+    state, bursts = Held(), Bursts(100)
+    bursts.init(state)
+    state.watermark = 0
+    told = list(bursts.handleInputRows((7,), iter([Row(at=1000 * k) for k in range(500)]), state))
+    assert state.messages == 3 and state.timers == [1] and sum(r.closed for r in told) == 0 and len(told) == 500
+    state.watermark = 400
+    closed = [r for r in bursts.handleExpiredTimer((7,), state, None) if r.closed]
+    assert state.messages == 6 and state.timers == [1, 401] and len(closed) == 400
+    assert list(bursts.handleExpiredTimer((7,), state, None)) == [] and state.messages == 7
