@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fairlead.operators import gate as G
 from fairlead.operators import resolve as X
 from fairlead.operators.facts import backfill_facts, derive_facts
-from fairlead.session import cut_lineage
+from fairlead.session import written
 from fairlead.streaming.jobs import drain, new_folder
 
 CHANGE = "struct<field:string,from:string,to:string>"
@@ -46,7 +46,7 @@ def snapshot(spark: SparkSession, root: str, version: int, only: list[int] | Non
 
 def publish(spark: SparkSession, root: str, version: int, changed: DataFrame, buckets: int) -> list[int]:
     """Version + 1: changed listings replace or join those of their buckets. Returns the buckets written."""
-    placed = cut_lineage(changed.select(*FIELDS).withColumn("bucket", bucket(buckets)))
+    placed = written(changed.select(*FIELDS).withColumn("bucket", bucket(buckets)))
     touched = sorted(r["bucket"] for r in placed.select("bucket").distinct().collect())  # at most `buckets` numbers
     old = snapshot(spark, root, version, touched).withColumn("bucket", bucket(buckets))
     if touched:
@@ -95,8 +95,9 @@ def ingested(batch: DataFrame, listings: DataFrame, as_of: Column, terms: G.Prof
     Admitted items get the facts that their text states, and are resolved by (source_id, pos): new ones and shadows are
     listings, the others update the listing they belong to, one that came in the same batch as well."""
     passed = G.with_verdict(G.evaluate(batch.select("listing_id", "source_id", "url", "title", "summary", "source_regions"), terms), "admit").select("listing_id")
-    facts = cut_lineage(backfill_facts(derive_facts(batch.join(passed, "listing_id", "left_semi"))).withColumnRenamed("listing_id", "item_id"))
-    actions = cut_lineage(X.resolve_upsert(facts.select("item_id", "source_id", "pos", "title", "institution", "url_hash"), listings, min_ratio)
+    # Written, not checkpointed: texts are compressed, and admitted ids go to the texts where they are few enough to be sent.
+    facts = written(backfill_facts(derive_facts(batch.join(written(passed), "listing_id", "left_semi"))).withColumnRenamed("listing_id", "item_id"))
+    actions = written(X.resolve_upsert(facts.select("item_id", "source_id", "pos", "title", "institution", "url_hash"), listings, min_ratio)
                           .select("item_id", "action", "target_id", "duplicate_of", "first_item", "shadow_of_item"))
     told = facts.drop("duplicate_of").join(actions, "item_id")
     new = told.filter(F.col("action").isin("create", "shadow", "shadow_new")).withColumn("duplicate_of", F.coalesce("duplicate_of", "shadow_of_item")).withColumn("listing_id", F.col("item_id"))

@@ -63,3 +63,22 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     assert {r["title"]: r["n"] for r in I.snapshot(spark, root, 3).groupBy("title").agg(F.count("*").alias("n")).collect()} == {"old": 39, "new": 2}
     assert I.snapshot(spark, root, 1).count() == 40 and I.snapshot(spark, root, 0).count() == 0
     assert json.dumps(sorted(p.name for p in (tmp_path / "data").iterdir())) == '["v=1", "v=2"]'
+
+
+def test_ingest_writes_no_checkpoints_of_texts(spark, monkeypatch):
+    """What a batch passes on with texts is written as a compressed table: no uncompressed checkpoint holds a summary."""
+    frame = type(spark.range(1))
+    seen, plain = [], frame.checkpoint
+
+    def checkpoint(self, *args, **kwargs):
+        seen.append(self.columns)
+        return plain(self, *args, **kwargs)
+
+    monkeypatch.setattr(frame, "checkpoint", checkpoint)
+    rows = [(k, 1, f"https://a.org/{k}", f"Fully funded PhD scholarship {k * 7919} in ocean science", "Apply now. Application deadline: 15 Oct 2026. Covers tuition. " * 3, k) for k in range(6)]
+    batch = spark.createDataFrame(rows, "listing_id long, source_id long, url string, title string, summary string, pos long").selectExpr(
+        "*", "'Ocean Institute' AS institution", "sha2(url, 256) AS url_hash", "sha2(summary, 256) AS content_hash", "CAST(NULL AS timestamp) AS deadline", "CAST(NULL AS string) AS funding_type",
+        "CAST(array() AS array<string>) AS degree_levels", "'phd' AS opportunity_type", "CAST(NULL AS bigint) AS duplicate_of", "CAST(array() AS array<string>) AS source_regions", "CAST(array() AS array<string>) AS requirements",
+        "CAST(array() AS array<string>) AS countries", "CAST(array() AS array<string>) AS tags", "CAST(NULL AS string) AS verification_status", "timestamp'2026-06-01' AS created_at")
+    I.ingested(batch, spark.createDataFrame([], I.LISTING), F.lit("2026-06-30").cast("timestamp")).collect()
+    assert seen and not any("summary" in columns for columns in seen)
